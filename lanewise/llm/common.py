@@ -30,6 +30,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def beside(rows: DataFrame, small: DataFrame, key: str, most: int = 1_000_000) -> DataFrame:
+    """Inner join; ``small`` is broadcast only if a count shows at most ``most`` rows of it."""
+    return rows.join(F.broadcast(small) if small.count() <= most else small, key)
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """Drop input columns whose names an operator is about to add, whatever their case."""
     taken = {n.lower() for n in names}

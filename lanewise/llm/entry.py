@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from lanewise.llm import chat, exact_dedup, language_id, packing, simhash, winnow
+from lanewise.llm import chat, exact_dedup, language_id, packing, quality, repeats, simhash, toxicity, winnow
 
 QUERIES = {
     "op2_chat_formatting": chat.op2,
+    "op3_toxicity": toxicity.op3,
+    "op4_suffix_array_dedup": repeats.op4,
     "op5_language_id": language_id.op5,
     "op6_exact_dedup": exact_dedup.op6,
     "op7_simhash_near_dedup": simhash.op7,
     "op8_best_fit_packing": packing.op8,
     "op9_document_fingerprints": winnow.op9,
+    "op10_quality": quality.op10,
 }
 
 ORACLES = {

@@ -1,6 +1,6 @@
 """Exact duplicates with two Bloom passes, all in DataFrame functions.
 
-Pass one hashes each normalised text to ``HASHES`` slots and counts slots; slots hit at least
+Pass one hashes each normalised text to a few slots and counts slots; slots hit at least
 twice become a bitmap of at most ``max_bits`` bits (16 MB at the default), which is therefore safe to
 broadcast at any corpus size. Pass two tests each row against the bitmap: a row with a slot hit
 only once cannot have a copy and passes straight through; the others shuffle by the text's
@@ -13,9 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanewise.llm.common import cut, table, without
+from lanewise.llm.bloom import MAX_BITS, bits_for, flag_shared, shared_slots
+from lanewise.llm.common import table, without
 
-HASHES = 2
 ADDED = ("keep_id", "group_size", "kept", "text_sha256")
 
 
@@ -23,22 +23,7 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def _slots(sha: Column, bits: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(sha, F.lit(i)), F.lit(bits)) + 1 for i in range(HASHES)]
-
-
-def repeated_slots(sha: DataFrame, bits: int) -> DataFrame:
-    """Bitmap rows ``(bucket, bitmap)`` of the slots that two or more rows of ``sha(sha)`` hit."""
-    hit = (
-        sha.select(F.explode(F.array_distinct(F.array(*_slots(F.col("sha"), bits)))).alias("slot"))
-        .groupBy("slot").count().where("count >= 2")
-    )
-    return hit.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bitmap")
-    )
-
-
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 1 << 27) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """All rows and columns of ``docs`` plus ``keep_id, group_size, kept, text_sha256``.
 
     Null text counts as empty; empty texts are equal to each other. Of equal texts the smallest
@@ -47,26 +32,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     them apart. Input columns named like an added column are replaced. An empty table gives no
     rows.
     """
-    rows = docs.count()
-    bits = min(max_bits, max(1 << 18, 1 << (32 * rows).bit_length()))
+    bits = bits_for(docs.count(), max_bits)
     hashed = without(docs, *ADDED).withColumn("text_sha256", F.sha2(normalised(F.col(text_col)), 256))
-    bitmap = F.broadcast(cut(repeated_slots(hashed.select(F.col("text_sha256").alias("sha")), bits)))
-
-    flagged = hashed
-    for i, slot in enumerate(_slots(F.col("text_sha256"), bits)):
-        at = F.bitmap_bit_position(slot)
-        byte = F.conv(F.hex(F.substring(F.col(f"_map{i}"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        flagged = (
-            flagged.join(bitmap.select(F.col("bucket").alias(f"_bucket{i}"), F.col("bitmap").alias(f"_map{i}")), F.bitmap_bucket_number(slot) == F.col(f"_bucket{i}"), "left")
-            .withColumn(f"_hit{i}", F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False)))
-            .drop(f"_bucket{i}", f"_map{i}")
-        )
-    seen_twice = F.expr(" AND ".join(f"_hit{i}" for i in range(HASHES)))
-    hits = [f"_hit{i}" for i in range(HASHES)]
-    alone = flagged.where(~seen_twice).drop(*hits).withColumns(
+    bitmap = shared_slots(hashed, "text_sha256", bits)
+    flagged = flag_shared(hashed, "text_sha256", bitmap, bits)
+    alone = flagged.where("NOT _shared").drop("_shared").withColumns(
         {"keep_id": F.col(id_col), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)}
     )
-    maybe = flagged.where(seen_twice).drop(*hits)
+    maybe = flagged.where("_shared").drop("_shared")
     groups = maybe.groupBy("text_sha256").agg(F.min(id_col).alias("keep_id"), F.count("*").alias("group_size"))
     grouped = maybe.join(groups, "text_sha256").withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id")))
     return alone.unionByName(grouped)
