@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lanewise.llm import chat, exact_dedup, language_id, packing, quality, repeats, simhash, toxicity, winnow
+from lanewise.llm import chat, exact_dedup, language_id, packing, pieces, quality, repeats, simhash, toxicity, winnow
 
 QUERIES = {
+    "op1_sentencepiece": pieces.op1,
     "op2_chat_formatting": chat.op2,
     "op3_toxicity": toxicity.op3,
     "op4_suffix_array_dedup": repeats.op4,
