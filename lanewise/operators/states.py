@@ -20,7 +20,7 @@ def dead_states(rows: DataFrame, name: str, run: str, at: Column, url: str, stat
     breaks = (F.col(status) != "UNKNOWN") | ~F.col(url).eqNullSafe(F.lag(url).over(line)) | (F.row_number().over(line) == 1)
     islands = rows.withColumn("_island", F.sum(breaks.cast("int")).over(line)).withColumn("_t", at)
     inside = Window.partitionBy(name, "_island").orderBy(run).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = islands.withColumn("streak", F.sum(counts.cast("int")).over(inside)).withColumn("_began", F.min(F.when(counts, F.col("_t"))).over(inside))
+    counted = islands.withColumn("streak", F.sum(counts.cast("int")).over(inside)).withColumn("_began", F.first(F.when(counts, F.col("_t")), ignorenulls=True).over(inside))
     dies = counts & (F.col("streak") >= policy.dead_after_runs) & (F.col("_t") - F.col("_began") >= policy.dead_min_age_hours * 3600)
     judged = counted.withColumn("_dead", F.max(F.coalesce(dies, F.lit(False))).over(inside))
     effective = F.when(F.col(status) != "UNKNOWN", F.col(status)).when(F.col("_dead"), "DEAD").otherwise("UNKNOWN")
