@@ -42,7 +42,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     maybe = flagged.where("_shared").drop("_shared")
     groups = maybe.groupBy("text_sha256").agg(F.min(id_col).alias("keep_id"), F.count("*").alias("group_size"))
     grouped = maybe.join(groups, "text_sha256").withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id")))
-    return alone.unionByName(grouped)
+    return alone.unionByName(grouped).select(*[F.col(f"`{c}`") for c in hashed.columns if c != "text_sha256"], *ADDED)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
