@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from lanewise.plans import pipelines, queries_aggregates, queries_joins, queries_ranking, queries_states, queries_text  # noqa: F401
+from lanewise.plans import pipelines, queries_aggregates, queries_joins, queries_queues, queries_ranking, queries_states, queries_text  # noqa: F401
 from lanewise.plans.registry import ORACLES, QUERIES  # noqa: F401
