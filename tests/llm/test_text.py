@@ -186,7 +186,7 @@ def test_unigram_fold_is_viterbi(spark, tmp_path):
     path.write_bytes(proto.SerializeToString())
     model, library = pieces.Model(str(path)), sentencepiece.SentencePieceProcessor(model_file=str(path))
     rng = random.Random(7)
-    texts = ["".join(rng.choices("ab ", k=rng.randint(1, 14))) for _ in range(30)]
+    texts = ["".join(rng.choices("ab c", k=rng.randint(1, 14))) for _ in range(40)]
     got = {}
     for r in pieces.encode(docs(spark, list(enumerate(texts))), model).collect():
         got.setdefault(r.doc_id, []).append((r.at, r.ids))
