@@ -3,7 +3,8 @@
 A text's tokens (runs without white space, cut at ``TOKEN`` signs) are hashed, hashes of ``GRAM``
 neighbouring tokens are rolled together, and of every ``WINDOW`` neighbouring grams the smallest is
 chosen, the rightmost on ties. Two texts that share ``GRAM + WINDOW - 1`` tokens in a row therefore
-share a chosen gram. A chosen gram is one long: its hash in the high ``64 - POSITION_BITS - 1`` bits
+share a chosen gram. Texts of few grams use smaller windows (``SHORT``), so that they too have some
+choices; a smaller window's choices include a larger one's, so the guarantee stands between texts of any length. A chosen gram is one long: its hash in the high ``64 - POSITION_BITS - 1`` bits
 and, below, the largest position less its own, so that ``least`` alone picks the rightmost of equal
 hashes.
 """
@@ -20,6 +21,7 @@ from lanewise.llm.common import cut, table
 TOKEN = 16
 GRAM = 4  # a power of two, as WINDOW: each is reached by doubling
 WINDOW = 8
+SHORT = ((16, 1), (32, 2), (64, 4))  # up to so many grams: the window
 POSITION_BITS = 27
 BUCKETS = 16384
 
@@ -47,11 +49,15 @@ def winnowed(df: DataFrame, text: str, out: str) -> DataFrame:
     df = df.withColumn("_gram", F.when(F.size("_gram") > 0, F.col("_gram")).otherwise(short))
     last = (1 << POSITION_BITS) - 1
     pack = lambda h, i: F.shiftleft(F.shiftrightunsigned(h, POSITION_BITS + 1), POSITION_BITS).bitwiseOR(F.lit(last) - i)
-    df = df.withColumn("_place", F.transform("_gram", pack)).withColumn("_low", F.col("_place"))
-    df = _doubled(df, "_low", WINDOW, lambda a, b: F.least(a, b))
-    few = F.when(F.size("_place") > 0, F.array(F.array_min("_place"))).otherwise(F.array().cast("array<bigint>"))
-    df = df.withColumn(out, F.array_distinct(F.when(F.size("_low") > 0, F.col("_low")).otherwise(few)))
-    return df.drop("_hash", "_gram", "_place", "_low")
+    df = df.withColumn("_low1", F.transform("_gram", pack))
+    by = 1
+    while by < WINDOW:
+        df = df.withColumn(f"_low{2 * by}", _shifted(F.col(f"_low{by}"), by, lambda a, b: F.least(a, b)))
+        by *= 2
+    low = F.col(f"_low{WINDOW}")
+    for grams, window in SHORT[::-1]:
+        low = F.when(F.size("_low1") <= grams, F.col(f"_low{window}")).otherwise(low)
+    return df.withColumn(out, F.array_distinct(low)).drop("_hash", "_gram", *[c for c in df.columns if c.startswith("_low")])
 
 
 def hashes(chosen: Column) -> Column:
@@ -102,8 +108,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     near_edited, near_next``.
 
     Null text counts as empty; a text without tokens has the empty fingerprint, and two empty
-    fingerprints are alike (1). Fewer than GRAM tokens make one gram of all; fewer than WINDOW grams
-    one window. Rows repeating an id follow each other by text. A lone row is its own next row.
+    fingerprints are alike (1). Fewer than GRAM tokens make one gram of all. Rows repeating an id follow each other by text. A lone row is its own next row.
     Other columns do not matter; an empty table gives no rows.
     """
     texts = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))

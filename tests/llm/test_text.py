@@ -62,8 +62,9 @@ def test_winnowing(spark):
     positions = [p for _, p in got]
     grams = len(tokens) - winnow.GRAM + 1
     assert positions == sorted(positions) and all(any(a <= p < a + winnow.WINDOW for p in positions) for a in range(grams - winnow.WINDOW + 1))
-    same = py_winnow(spark, "a " * 40)
-    assert [p for _, p in same] == list(range(winnow.WINDOW - 1, 40 - winnow.GRAM + 1))  # rightmost of ties
+    same = py_winnow(spark, "a " * 90)
+    assert [p for _, p in same] == list(range(winnow.WINDOW - 1, 90 - winnow.GRAM + 1))  # rightmost of ties
+    assert len(py_winnow(spark, " ".join(f"w{i}" for i in range(12)))) == 12 - winnow.GRAM + 1  # few grams: all
     shared = " ".join(f"s{i}" for i in range(winnow.GRAM + winnow.WINDOW - 1))
     a, b = ({h for h, _ in py_winnow(spark, t)} for t in (f"x y {shared} z", f"{shared} q q q"))
     assert a & b
