@@ -38,45 +38,57 @@ def default_tokenizer() -> str:
 class WordIds:
     """Ids of UTF-8 words as little-endian bytes, with two generations of remembered words.
 
-    Text is cut at ASCII white space, where the tokenizer always ends a token; a final full stop or
-    the like after a letter is a token of its own, and ASCII words are lower-cased first, as the
-    tokenizer does. Texts with ``<|`` may hold special tokens and are encoded whole.
+    Text is cut at ASCII white space, where the tokenizer always ends a token. A word of Latin
+    letters, lower-cased, goes straight to the tokenizer's model in its byte alphabet: its normaliser
+    and splitter would only hand it on; a full stop or the like after it is a token of its own. All
+    other words take the tokenizer's whole path. Texts with ``<|`` may hold special tokens and are
+    encoded whole.
     """
 
-    ENDS = frozenset(".,;:!?")
+    ENDS = ".,;:!?"
+    LATIN = "\u0250"  # below it letters have no decompositions and one lower case
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.four = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size(True))]
+        self.ends = dict(zip(self.ENDS, self._encode(list(self.ENDS)), strict=True))
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+        hidden = [b for b in range(256) if b not in set(shown)]
+        self.alphabet = {b: chr(256 + i) for i, b in enumerate(hidden)}  # the others stand for themselves
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.bases: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def _parts(self, word: bytes) -> tuple[str, str]:
-        text = word.decode("utf-8")
-        base, end = (text[:-1], text[-1]) if len(text) > 1 and text[-1] in self.ENDS and text[-2].isalpha() else (text, "")
-        return (base.lower() if base.isascii() else base), end
+        four = self.four
+        return [b"".join([four[i] for i in e.ids]) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def learn(self, words: set[bytes]) -> None:
         if len(self.new) + len(words) > KEPT_WORDS:
-            self.old, self.new = self.new, {}
-        parts = {}
-        for w in words - self.new.keys():
-            if (ids := self.old.get(w)) is not None:
-                self.new[w] = ids
-            else:
-                parts[w] = self._parts(w)
-        need = [(p, key) for p in {p for pair in parts.values() for p in pair if p} if (key := p.encode()) not in self.new]
-        for at in range(0, len(need), 20_000):
-            some = need[at : at + 20_000]
-            self.new.update(zip((key for _, key in some), self._encode([p for p, _ in some]), strict=True))
-        get = self.new.__getitem__
-        self.new.update([(w, get(base.encode()) + (get(end.encode()) if end else b"")) for w, (base, end) in parts.items()])
+            self.old, self.new, self.bases = self.new, {}, {}
+        new, old, bases, four, tokenize = self.new, self.old, self.bases, self.four, self.model.tokenize
+        hard: list[tuple[bytes, str]] = []
+        for w in [w for w in words if w not in new]:
+            if (ids := old.get(w)) is None:
+                text = w.decode("utf-8")
+                end = text[-1] if text[-1] in self.ends and len(text) > 1 else ""
+                base = (text[:-1] if end else text).lower()
+                if (ids := bases.get(base)) is None:
+                    if not base.isalpha() or max(base) >= self.LATIN:
+                        hard.append((w, text))
+                        continue
+                    shown = base if base.isascii() else base.encode("utf-8").decode("latin-1").translate(self.alphabet)
+                    ids = bases[base] = b"".join([four[t.id] for t in tokenize(shown)])
+                if end:
+                    ids += self.ends[end]
+            new[w] = ids
+        for at in range(0, len(hard), 20_000):
+            some = hard[at : at + 20_000]
+            new.update(zip((w for w, _ in some), self._encode([t for _, t in some]), strict=True))
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         words = [t.split() for t in texts]
