@@ -33,7 +33,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows.
     """
     bits = bits_for(docs.count(), max_bits)
-    hashed = without(docs, *ADDED).withColumn("text_sha256", F.sha2(normalised(F.col(text_col)), 256))
+    # never null, and said so: else the join's null filter hashes every text a second time
+    digest = F.coalesce(F.sha2(normalised(F.col(text_col)), 256), F.lit(""))
+    hashed = without(docs, *ADDED).withColumn("text_sha256", digest)
     bitmap = shared_slots(hashed, "text_sha256", bits)
     flagged = flag_shared(hashed, "text_sha256", bitmap, bits)
     alone = flagged.where("NOT _shared").drop("_shared").withColumns(

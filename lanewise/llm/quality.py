@@ -27,6 +27,7 @@ COST = 1.0
 ROUNDS = 30
 REMEMBERED = 400_000
 LOOKBACK = (1, 2, 3, 4)
+ENDS = ".,;:!?#%&*$@|~^=_-+\"')]}<>"
 SHAPES = 64  # of one word: 4 cases x 4 lengths x 4 ends
 
 
@@ -40,11 +41,10 @@ class Grams:
     def _word(raw: bytes) -> int:
         """Hash of the lower-cased word above its shape."""
         word = raw.decode("utf-8", "replace")
-        letters = [c for c in word if c.isalpha()]
-        case = 0 if not letters else 3 if len(letters) > 1 and all(c.isupper() for c in letters) else 2 if letters[0].isupper() else 1
-        size = min(3, len(letters) // 4)
-        tail = len(word) - len(word.rstrip(".,;:!?#%&*$@|~^=_-+\"')]}<>"))
-        return zlib.crc32(word.lower().encode()) << 6 | case << 4 | size << 2 | min(3, tail)
+        core = word.rstrip(ENDS)
+        case = 3 if len(core) > 1 and core.isupper() else 2 if core[:1].isupper() else 1 if core.islower() else 0
+        size = min(3, len(core) // 4)
+        return zlib.crc32(word.lower().encode()) << 6 | case << 4 | size << 2 | min(3, len(word) - len(core))
 
     def slots(self, text: bytes) -> np.ndarray:
         words = text.split()
