@@ -47,6 +47,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return alone.unionByName(grouped).select(*[F.col(f"`{c}`") for c in hashed.columns if c != "text_sha256"], *ADDED)
 
 
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` per text: of equal texts a row with the smallest id, nulls last.
+
+    Of rows that share this id too, the one whose unnormalised text comes first stays. Only
+    texts that stand more than once are reduced, with partial aggregates; the others pass.
+    """
+    found = exact_dedup(docs.withColumn("_all", F.struct(*[F.col(f"`{c}`") for c in docs.columns])), id_col, text_col).where("kept")
+    once = found.where("group_size = 1").select("_all.*")
+    many = found.where("group_size > 1").groupBy("text_sha256").agg(F.min_by("_all", F.coalesce(F.col(text_col), F.lit(""))).alias("_all"))
+    return once.unionByName(many.select("_all.*"))
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup(docs).select("doc_id", *ADDED)
