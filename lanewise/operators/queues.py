@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 def scheduled(parts: Sequence[DataFrame], key: str, order: Sequence[Column], limit: int) -> DataFrame:
     """Tasks of several queues in priority order, each key once (its first queue), at most ``limit``.
 
-    Each queue can fill the whole limit, so it is cut to that before the queues meet.
+    Keys are reduced to their first row before the cut; Spark limits each key to one row before the
+    shuffle, so a hot key is no large group. Rows with a null key share one place.
     """
     stacked = None
     for level, part in enumerate(parts):
-        some = part.orderBy(*order).limit(limit).withColumn("priority", F.lit(level))
+        some = part.withColumn("priority", F.lit(level))
         stacked = some if stacked is None else stacked.unionByName(some)
     first = stacked.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("priority", *order))).where("_n = 1").drop("_n")
     return first.orderBy("priority", *order).limit(limit)
