@@ -6,16 +6,18 @@ hundred bytes. Runs whose anchor stands nowhere else are dropped behind a bitmap
 The rest are grouped by anchor and content, with partial counts, so copies collapse before they
 meet: a span seen twice is repeated throughout. Where different spans share an anchor, one copy
 of each is fetched and a suffix array over them (linear grouping construction) finds the windows
-that also stand in another. Anchors with more than ``CROWD`` different spans, whose group would
-be too large for a task, go window by window through a hash count instead.
+that also stand in another. Anchors with more than ``CROWD`` different spans (some 2 MB), whose
+group would be too large for a task, go window by window through a hash count instead.
+
+``remove_passages`` finds runs of words instead: it writes each word as four bytes of its hash and
+looks for windows of that many words, so a passage counts by its words, long or short.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,9 @@ from lanewise.llm.suffixes import Rolling, repeated_windows
 
 WINDOW = 400
 KGRAM = 64
-CROWD = 50_000
+CROWD = 4_000
+PASSAGE = 49  # words: a passage of over 50 less its first and last, which may touch its neighbours
+CODE = 4  # bytes of a word's hash
 BUFFER = 1 << 20  # bytes of documents hashed at a time
 BATCH = 2 << 20  # bytes of spans in one suffix array, if their groups allow
 SPAN = ["h", "left", "digest"]
@@ -72,12 +76,12 @@ def _runs(data: np.ndarray, ends: np.ndarray, window: int, kgram: int) -> tuple[
 
 
 def runs(docs: DataFrame, window: int, kgram: int) -> DataFrame:
-    """``(id, crc, h, left, digest, lo, size)`` of every run of every text of ``docs(id, text)``."""
+    """``(id, crc, h, left, digest, lo, size)`` of every run of every text of ``docs(id, crc, text)``."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            ids = batch.column(0)
+            texts = batch.column(2).to_pylist()
+            ids, crcs = batch.column(0), batch.column(1).to_numpy()
             start = 0
             while start < len(texts):
                 end, size = start, 0
@@ -92,10 +96,9 @@ def runs(docs: DataFrame, window: int, kgram: int) -> DataFrame:
                     first, last, anchor, h, owner = _runs(np.frombuffer(joined, np.uint8), ends, window, kgram)
                     size_of = last - first + window
                     digests = np.fromiter((xxhash.xxh3_64_intdigest(joined[a : a + n]) for a, n in zip(first.tolist(), size_of.tolist(), strict=True)), np.uint64, len(first))
-                    crcs = np.fromiter(map(zlib.crc32, some), np.int64, len(some))
                     yield pa.RecordBatch.from_arrays(
                         [
-                            ids.take(pa.array(start + owner)), pa.array(crcs[owner]), pa.array(h.view(np.int64)), pa.array((anchor - first).astype(np.int32)),
+                            ids.take(pa.array(start + owner)), pa.array(crcs[start + owner]), pa.array(h.view(np.int64)), pa.array((anchor - first).astype(np.int32)),
                             pa.array(digests.view(np.int64)), pa.array(first - (ends - sizes)[owner]), pa.array(size_of.astype(np.int32)),
                         ],
                         ["id", "crc", *SPAN, "lo", "size"],
@@ -156,7 +159,8 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
 
 
 def repeated(docs: DataFrame, window: int = WINDOW, kgram: int = KGRAM, crowd: int = CROWD) -> DataFrame:
-    """Stretches ``(id, crc, a, b)`` of the texts of ``docs(id, text)`` to remove; they may overlap."""
+    """Stretches ``(id, crc, a, b)`` to remove from the texts of ``docs(id long, crc long, text binary)``
+    without nulls; they may overlap. Rows are told apart by id and crc."""
     found = saved(runs(docs, window, kgram))
     bits = bits_for(found.count())
     shared = flag_shared(found, "h", shared_slots(found, "h", bits), bits).where("_shared").drop("_shared")
@@ -171,12 +175,12 @@ def repeated(docs: DataFrame, window: int = WINDOW, kgram: int = KGRAM, crowd: i
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, wanted in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 rows += [(s["h"], s["left"], s["digest"], s["kinds"], text[s["lo"] : s["lo"] + s["size"]]) for s in wanted]
             columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], [*SPAN, "kinds", "body"])
 
-    keyed = docs.select(F.col("id").alias("_id"), F.coalesce("text", F.lit("")).alias("text"), F.crc32(F.coalesce("text", F.lit(""))).alias("_crc"))
+    keyed = docs.select(F.col("id").alias("_id"), "text", F.col("crc").alias("_crc"))
     fetched = keyed.join(asked, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_crc") == F.col("crc"))).select("text", "asked")
     bodies = saved(fetched.mapInArrow(fetch, "h long, left int, digest long, kinds long, body binary"))
     few = bodies.where(F.col("kinds") <= crowd).select(*SPAN, "body").repartition("h").sortWithinPartitions(*SPAN)
@@ -189,15 +193,16 @@ def repeated(docs: DataFrame, window: int = WINDOW, kgram: int = KGRAM, crowd: i
     return shared.join(removed, SPAN).select("id", "crc", (F.col("lo") + F.col("a")).alias("a"), (F.col("lo") + F.col("b")).alias("b"))
 
 
-def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, crowd: int = CROWD) -> DataFrame:
-    """All rows and columns of ``docs``, plus ``n_bytes, n_removed, n_spans`` and ``kept`` (binary).
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(id, crc, text)`` as ``repeated`` reads it."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.crc32(text).alias("crc"), text.cast("binary").alias("text"))
 
-    Null text counts as empty and, like any text under ``window`` bytes, loses nothing. Rows that
-    repeat id and text are documents of their own, so their windows are all repeated. Input columns
-    named like an added column are replaced. An empty table gives no rows. Ids are read as longs.
-    """
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    gone = repeated(texts, window, crowd=crowd).groupBy("id", "crc").agg(F.collect_list(F.struct("a", "b")).alias("_gone")).select(F.col("id").alias("_id"), F.col("crc").alias("_crc"), "_gone")
+
+def _without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str, bounds: Callable[[bytes, list], list[tuple[int, int]]]) -> DataFrame:
+    """``docs`` plus ``n_bytes, n_removed, n_spans`` and ``kept``, without the bytes that ``bounds`` makes of
+    each text's stretches ``gone(id, crc, a, b)``."""
+    gone = gone.groupBy("id", "crc").agg(F.collect_list(F.struct("a", "b")).alias("_gone")).select(F.col("id").alias("_id"), F.col("crc").alias("_crc"), "_gone")
     kept = without(docs, "n_bytes", "n_removed", "n_spans", "kept", "_gone", "_id", "_crc")
     joined = kept.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.crc32(F.coalesce(text_col, F.lit(""))) == F.col("_crc")), "left").drop("_id", "_crc")
     at, gone_at = kept.columns.index(text_col), len(kept.columns)
@@ -207,7 +212,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
             rows = []
             for text, gone in zip(batch.column(at).cast(pa.binary()).to_pylist(), batch.column(gone_at).to_pylist(), strict=True):
                 text, out, end, n = text or b"", [], 0, 0
-                for a, b in sorted((g["a"], g["b"]) for g in gone or ()):
+                for a, b in sorted(bounds(text, [(g["a"], g["b"]) for g in gone])) if gone else ():
                     if a > end or not n:
                         out.append(text[end:a])
                         n += 1
@@ -223,6 +228,64 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
     return joined.select(*[F.col(f"`{c}`") for c in kept.columns], "_gone").mapInArrow(each, f"{shape}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
+def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, crowd: int = CROWD) -> DataFrame:
+    """All rows and columns of ``docs``, plus ``n_bytes, n_removed, n_spans`` and ``kept`` (binary).
+
+    Null text counts as empty and, like any text under ``window`` bytes, loses nothing. Rows that
+    repeat id and text are documents of their own, so their windows are all repeated. Input columns
+    named like an added column are replaced. An empty table gives no rows. Ids are read as longs.
+    """
+    return _without(docs, repeated(_keyed(docs, id_col, text_col), window, crowd=crowd), id_col, text_col, lambda text, gone: gone)
+
+
+def _word_bounds(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text, or of several joined by white space, start and end."""
+    inside = np.concatenate([[False], (text != 32) & ((text < 9) | (text > 13)), [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    return edges[::2], edges[1::2]
+
+
+def _coded(texts: DataFrame) -> DataFrame:
+    """``texts(id, crc, text)`` with each word written as ``CODE`` bytes of its hash, and nothing else."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = []
+            for text in batch.column(2).to_pylist():
+                data = np.frombuffer(text, np.uint8)
+                start, end = _word_bounds(data)
+                codes.append((Rolling(data).of(start, end - start) >> np.uint64(32)).astype("<u4").tobytes() if len(start) else b"")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(codes, pa.binary())], ["id", "crc", "text"])
+
+    return texts.mapInArrow(each, "id long, crc long, text binary")
+
+
+def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = PASSAGE, crowd: int = CROWD) -> DataFrame:
+    """Like ``remove``, for every run of ``words`` words (between ASCII white space, told apart by 32 bits
+    of hash each) that also starts anywhere else; bytes from its first word to its last are removed.
+
+    Texts of fewer words lose nothing; white space around a removed passage stays.
+    """
+    gone = repeated(_coded(_keyed(docs, id_col, text_col)), CODE * words, crowd=crowd)
+
+    def bounds(text: bytes, gone: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        start, end = _word_bounds(np.frombuffer(text, np.uint8))
+        return [(int(start[-(-a // CODE)]), int(end[b // CODE - 1])) for a, b in _joined(gone)]
+
+    return _without(docs, gone, id_col, text_col, bounds)
+
+
+def _joined(stretches: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The stretches in order, with overlapping and touching ones joined."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(stretches):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))

@@ -133,7 +133,7 @@ def test_repeated_windows():
         assert repeated_windows(texts, width).tolist() == [f for flags in counted(texts, width) for f in flags]
 
 
-@pytest.mark.parametrize("crowd", [50_000, 1])
+@pytest.mark.parametrize("crowd", [repeats.CROWD, 1])
 def test_passages(spark, crowd):
     rows = corpus(2)
     texts = [(t or "").encode() for _, t, *_ in rows]
@@ -149,3 +149,26 @@ def test_passages(spark, crowd):
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got.collect()) == sorted(expected)
     assert sum(e[2] for e in expected) > 5000
     assert repeats.remove(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_passages_by_words(spark):
+    rng = random.Random(12)
+    shared, short = words(rng, 55), " ".join(["of"] * 4 + words(rng, 46).split())
+    rows = [(i, f"{words(rng, rng.randint(0, 30))} {shared if i % 3 else words(rng, 80)}\n{words(rng, 20)} {short if i % 2 else ''}") for i in range(24)]
+    rows += [(50, None), (51, ""), (52, words(rng, 48)), (53, "é" + shared), (None, shared[::-1]), (54, "\t".join(shared.split()))]
+    rows += [(55, "la " * 400), (52, "two rows of one id")]
+    seen = collections.Counter(tuple(w[k : k + 49]) for _, t in rows for w in [(t or "").split()] for k in range(len(w) - 48))
+    expected = []
+    for i, t in rows:
+        body, spots = t or "", [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "")]
+        w, gone = [body[a:b] for a, b in spots], set()
+        for k in range(len(w) - 48):
+            if seen[tuple(w[k : k + 49])] > 1:
+                gone |= set(range(spots[k][0], spots[k + 48][1]))
+        expected.append((str(i), "".join(c for k, c in enumerate(body) if k not in gone)))
+    given = spark.createDataFrame([(i, t, "en", 9, "clash") for i, t in rows], DOCS)
+    for crowd in (repeats.CROWD, 1):
+        got = repeats.remove_passages(given, crowd=crowd)
+        assert sorted((str(r.doc_id), bytes(r.kept).decode()) for r in got.collect()) == sorted(expected)
+    assert sum(len(t or "") for _, t in rows) > 2 * sum(len(t) for _, t in expected)
+    assert repeats.remove_passages(given.limit(0)).count() == 0

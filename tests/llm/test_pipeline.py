@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import itertools
 import random
 import re
 import zlib
@@ -13,7 +14,6 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from lanewise.llm import entry, packing
-from tests.llm.test_dedup import brute_simhash, linked
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,27 +26,36 @@ def sample():
     for i in range(30):
         text = " ".join(word() for _ in range(rng.randint(5, 150)))
         rows.append((10 + i, text if i % 3 else f"{text} {passage} {word()}é"))
-    rows += [(100, rows[8][1]), (101, rows[9][1] + " x"), (102, rows[9][1].upper())]
+    rows += [(100, rows[8][1]), (101, rows[9][1] + " x"), (102, rows[9][1].upper()), (103, "a " + rows[10][1] + " b c")]
     return [(i, t, "en" if i % 2 else "de", "s", len(t or "")) for i, t in rows]
 
 
+def five_words(text):
+    w = "".join(c.lower() if "A" <= c <= "Z" else c for c in text).split()
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+
 def brute(rows):
     docs = [(i, t or "") for i, t, *_ in rows if any(c.isalpha() for c in t or "")]
     first = {}
     for i, t in sorted(docs):
         first.setdefault(re.sub("[\x20\x09-\x0d]+", " ", t), (i, t))
     docs = sorted(first.values())
-    labels = linked([brute_simhash(t) for _, t in docs], [i for i, _ in docs], 2)
-    docs = [(i, t) for (i, t), c in zip(docs, labels, strict=True) if i == c]
-    bodies = [t.encode() for _, t in docs]
-    seen = collections.Counter(b[k : k + 400] for b in bodies for k in range(len(b) - 399))
+    sets, low = [five_words(t) for _, t in docs], list(range(len(docs)))
+    for _ in docs:  # until no link moves a label any more
+        for a, b in itertools.combinations(range(len(docs)), 2):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                low[a] = low[b] = min(low[a], low[b])
+    docs = [d for k, d in enumerate(docs) if low[k] == k]
+    seen = collections.Counter(tuple(w[k : k + 49]) for _, t in docs for w in [t.split()] for k in range(len(w) - 48))
     kept = []
-    for (i, _), b in zip(docs, bodies, strict=True):
-        gone = bytearray(len(b))
-        for k in range(len(b) - 399):
-            if seen[b[k : k + 400]] > 1:
-                gone[k : k + 400] = b"\1" * 400
-        kept.append((i, bytes(x for x, g in zip(b, gone, strict=True) if not g).decode("utf-8", "replace")))
+    for i, t in docs:
+        spots, gone = [m.span() for m in re.finditer("[^\x20\x09-\x0d]+", t)], bytearray(len(t))
+        for k in range(len(spots) - 48):
+            if seen[tuple(t[a:b] for a, b in spots[k : k + 49])] > 1:
+                a, b = spots[k][0], spots[k + 48][1]
+                gone[a:b] = b"\1" * (b - a)
+        kept.append((i, "".join(c for c, g in zip(t, gone, strict=True) if not g)))
     return kept
 
 
