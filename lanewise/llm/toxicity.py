@@ -1,20 +1,23 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 Words become symbols: insult (learned stems), threat, target, negation, report, clause end, other.
-Four small transducers read the symbols of a clause: the insult/threat one emits weighted matches,
-the negation one remembers a negation for ``REACH`` symbols, the reported-speech one a reporting
-verb or an open quotation, the target one an addressed person. Their product is one table of states
-(``compose``), built at import. Scores come from matched clauses: each match falls in a class
-(plain, aimed, negated, reported) and each class has its own learned weight.
-
-The insult lexicon is learned from labelled rows: prefixes of 4 to 8 letters and whole short words,
-kept by how many toxic rows hold them, weighed by class log-odds; a word takes the weight of its
-longest known prefix, so a harmless long form beats its stem. Clause-class weights are a logistic
+Five small transducers read the symbols of a clause. The insult and the threat one emit a match at
+their words; the threat one also waits ``REACH`` symbols for an addressed person. The negation one
+remembers a negation for ``REACH`` symbols, the reported-speech one a reporting verb or an open
+quotation, the target one an addressed person anywhere in the clause. Their product is one table of
+states (``compose``), built at import. Scores come from matched clauses: each match, insult or threat,
+falls in a class (plain, aimed, negated, reported) and each class has its own learned weight.
+
+The lexicon is learned from labelled rows: prefixes of 4 to 8 letters and whole short words, weighed
+by class log-odds over all labelled rows; a word takes the weight of its longest known prefix, so a
+harmless long form beats its stem. At most ``CANDIDATES`` keys, those in most toxic rows, are counted
+in clean rows too. A threat word weighs 1 unless the labels say more. Class weights are a logistic
 fit on at most ``FIT_ROWS`` labelled rows, each scored with a lexicon learned from the other half.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections.abc import Callable, Iterator
@@ -27,9 +30,9 @@ from pyspark.sql import functions as F
 from lanewise.llm.common import beside, cut, fold, table
 
 FIT_ROWS = 20_000
-LEXICON = 20_000
-MIN_SHARE = 0.004
+CANDIDATES = 150_000
 MIN_ROWS = 3
+SURE = 1.5  # standard errors that a key's toxic rows exceed its share of the clean ones by
 MIN_WEIGHT = 1.2
 REACH = 3
 REMEMBERED = 400_000
@@ -61,6 +64,17 @@ def _target(state: int, symbol: str) -> int:
     return 1 if symbol == "P" else state
 
 
+def _insult(state: int, symbol: str) -> int:
+    return 1 if symbol == "I" else state
+
+
+def _threat(state: int, symbol: str) -> int:
+    """How long a threat still waits for its target; one that met it stays at ``REACH + 1``."""
+    if state > REACH or state and symbol == "P":
+        return REACH + 1
+    return REACH if symbol == "T" else max(0, state - 1)
+
+
 def compose(machines: tuple[Machine, ...], alphabet: str) -> dict[tuple[State, str], State]:
     """Table of the machines' product over ``alphabet``, of the states reached from all zeros."""
     start: State = tuple(0 for _ in machines)
@@ -75,19 +89,21 @@ def compose(machines: tuple[Machine, ...], alphabet: str) -> dict[tuple[State, s
     return table
 
 
-GRAMMAR = compose((_negation, _report, _target), "IPNRTQO")
-START: State = (0, 0, 0)
+GRAMMAR = compose((_negation, _report, _target, _insult, _threat), "IPNRTQO")
+START: State = (0, 0, 0, 0, 0)
 
 
 def clause(symbols: list[str], weights: list[float]) -> list[tuple[int, float]]:
-    """``(class, weight)`` of every match of one clause."""
+    """``(class, weight)`` of every match of one clause: 0 to 3 for insults, 4 to 7 for threats, each
+    plain, aimed, negated, reported. A threat is aimed at a target that it meets, or that an insult of
+    the same clause is aimed at."""
     state, met = START, []
     for symbol, weight in zip(symbols, weights, strict=True):
         if symbol in "IT":
-            met.append((state[0] > 0, state[1] > 0, weight))
+            met.append((symbol, state[0] > 0, state[1] > 0, weight))
         state = GRAMMAR[state, symbol]
-    aimed = state[2] > 0
-    return [(3 if reported else 2 if negated else 1 if aimed else 0, w) for negated, reported, w in met if w > 0]
+    aimed = {"I": state[2] > 0, "T": state[4] > REACH or state[2] > 0 and state[3] > 0}
+    return [(4 * (s == "T") + (3 if reported else 2 if negated else 1 if aimed[s] else 0), w) for s, negated, reported, w in met if w > 0]
 
 
 def stems(word: str) -> list[str]:
@@ -109,37 +125,41 @@ class Scanner:
                 return w if w >= MIN_WEIGHT else 0.0
         return 0.0
 
+    def _said(self, token: str) -> float:
+        symbol = SYMBOLS.get(token)
+        if symbol == "T":
+            return max(1.0, self.weight(token))
+        return 0.0 if symbol or token in ENDS else self.weight(token)
+
     def features(self, text: str) -> list[float]:
         tokens = TOKENS.findall(text.lower())
         if len(self.known) > REMEMBERED:
             self.known.clear()
         known = self.known
         for t in [t for t in set(tokens) if t not in known]:
-            known[t] = -1.0 if t in ENDS else self.weight(t) if SYMBOLS.get(t) is None else 1.0 if SYMBOLS[t] == "T" else 0.0
-        hits = [i for i, t in enumerate(tokens) if known[t] > 0 and SYMBOLS.get(t) != "T"]
-        sums, best, at, seen = [0.0] * 4, 0.0, -1, set()
+            known[t] = self._said(t)
+        hits = [i for i, t in enumerate(tokens) if known[t] > 0]
+        sums, best, at, seen = [0.0] * KINDS, 0.0, -1, set()
+        ends = [i for i, t in enumerate(tokens) if t in ENDS] if hits else []
         for i in hits:
-            if i <= at:
-                continue
-            first, at = i, i
-            while first and tokens[first - 1] not in ENDS and i - first < 40:
-                first -= 1
-            while at + 1 < len(tokens) and tokens[at + 1] not in ENDS and at - i < 40:
-                at += 1
-            words = tokens[first : at + 1]
+            if i < at:
+                continue  # in the clause just read
+            k = bisect.bisect_left(ends, i)
+            first, at = ends[k - 1] + 1 if k else 0, ends[k] if k < len(ends) else len(tokens)
+            words = tokens[first:at]
             weights = [known[w] for w in words]
-            symbols = [SYMBOLS.get(w, "I" if x > 0 else "O") for w, x in zip(words, weights, strict=True)]
-            matches = clause(symbols, weights)
+            matches = clause([SYMBOLS.get(w, "I" if x > 0 else "O") for w, x in zip(words, weights, strict=True)], weights)
             for kind, w in matches:
                 sums[kind] += w
-            best = max(best, sum(w for _, w in matches))
-            seen.update(w for w in words if known[w] > 0 and w not in SYMBOLS)
-        total = sum(sums)
+            best = max(best, sum(w for kind, w in matches if kind < 4))
+            seen.update(w for w, x in zip(words, weights, strict=True) if x > 0 and w not in SYMBOLS)
+        total = sum(sums[:4])
         dense, forms = math.log1p(100 * total / (len(tokens) + 10)), math.log1p(len(seen))
         return [*(math.log1p(s) for s in sums), math.log1p(best), dense, forms, dense * forms, math.log1p(len(tokens))]
 
 
-WIDTH = 9
+KINDS = 8
+WIDTH = KINDS + 5
 
 
 def _keys(batches: Iterator[pa.RecordBatch], wanted: frozenset[str] | None) -> Iterator[pa.RecordBatch]:
@@ -164,33 +184,37 @@ def learn(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     half = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("half")), F.lit(2)).cast("int")
     given = rows.where(F.col(label_col).isin(0, 1)).select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("toxic"), half.alias("half"))
     sizes = {(r["toxic"], r["half"]): r["n"] for r in given.groupBy("toxic", "half").agg(F.count("*").alias("n")).collect()}
-    toxic_rows = sum(n for (toxic, _), n in sizes.items() if toxic)
-    floor = max(MIN_ROWS, math.ceil(MIN_SHARE * toxic_rows))
     toxic = cut(_count(given.where("toxic = 1"), None))
-    frequent = toxic.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= floor).orderBy(F.desc("n"), "key").limit(LEXICON)
-    keys = frozenset(r["key"] for r in frequent.collect())  # at most LEXICON keys
-    counts: dict[str, np.ndarray] = {k: np.zeros((2, 2)) for k in keys}
+    often = toxic.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_ROWS).orderBy(F.desc("n"), "key").limit(CANDIDATES).select("key")
+    keys = frozenset(r["key"] for r in often.collect())  # at most CANDIDATES keys
     clean = _count(given.where("toxic = 0"), keys)
-    for r in toxic.join(F.broadcast(frequent.select("key")), "key", "left_semi").unionByName(clean).collect():
-        counts[r["key"]][r["toxic"], r["half"]] += r["n"]
+    cells = [F.coalesce(F.sum(F.when((F.col("toxic") == c) & (F.col("half") == h), F.col("n"))), F.lit(0)).alias(f"n{c}{h}") for c in (0, 1) for h in (0, 1)]
+    found = toxic.join(F.broadcast(often), "key", "left_semi").unionByName(clean).groupBy("key").agg(*cells).toArrow()
+    names = found.column("key").to_pylist()
+    counts = np.array([found.column(f"n{c}{h}").to_numpy() for c in (0, 1) for h in (0, 1)], float).reshape(2, 2, -1)
 
     def lexicon(halves: list[int]) -> dict[str, float]:
         n1, n0 = (sum(sizes.get((c, h), 0) for h in halves) for c in (1, 0))
-        return {k: math.log((c[1, halves].sum() + 0.3) / (n1 + 0.6) * (n0 + 2) / (c[0, halves].sum() + 1)) for k, c in counts.items() if c[1, halves].sum() >= 2 or c[0, halves].sum() >= 2}
+        c1, c0 = counts[1, halves].sum(0), counts[0, halves].sum(0)
+        weights = np.log((c1 + 0.3) / (n1 + 0.6) * (n0 + 2) / (c0 + 1))
+        due = (c0 + 1) / (n0 + 2) * n1  # toxic rows that an innocent key would have
+        sure = (c1 - due) / np.sqrt(due + 1) >= SURE
+        weights = np.where(sure, weights, np.minimum(weights, 0))
+        return {names[k]: float(weights[k]) for k in np.flatnonzero((c1 >= 2) | (c0 >= 2))}
 
     crossed = rows.sparkSession.sparkContext.broadcast([lexicon([1]), lexicon([0])])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanners = [Scanner(x) for x in crossed.value]
         for batch in batches:
-            found = [scanners[h].features(t or "") for t, _, h in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.float64()))], ["toxic", "x"])
+            found = [scanners[h].features(t or "") for t, h in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(3), pa.array(found, pa.list_(pa.float64()))], ["toxic", "h", "x"])
 
     # a bounded sample, the same for the same rows: the smallest hashes of the ids
     sample = rows.where(F.col(label_col).isin(0, 1)).select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("toxic"), half.alias("half"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
     share = min(1.0, FIT_ROWS / max(1, sum(sizes.values())))
-    sample = sample.where(F.col("h") <= F.lit(min(2**63 - 1, int((2 * share - 1) * 2**63)))).select("text", "toxic", "half")
-    fit = sample.mapInArrow(measure, "toxic int, x array<double>").limit(2 * FIT_ROWS).toArrow()
+    sample = sample.where(F.col("h") <= F.lit(min(2**63 - 1, int((2 * share - 1) * 2**63)))).select("text", "toxic", "half", "h")
+    fit = sample.mapInArrow(measure, "toxic int, h long, x array<double>").orderBy("h", "toxic", "x").limit(FIT_ROWS).toArrow()
     x = np.array(fit.column("x").to_pylist(), float).reshape(-1, WIDTH)
     y = fit.column("toxic").to_numpy().astype(float)
     return {"lexicon": lexicon([0, 1]), "weights": logistic(x, y)}
@@ -218,7 +242,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     Null and empty texts are scored as texts without a match. Without training rows every score is
     0.5. Other columns do not matter; an empty table gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most LEXICON keys
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most CANDIDATES keys
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner, w = Scanner(shared.value["lexicon"]), shared.value["weights"]

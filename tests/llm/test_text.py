@@ -221,12 +221,61 @@ def test_scorer_edges(spark, scorer, label):
 
 
 def test_grammar_classes():
-    table = toxicity.GRAMMAR
-    assert table[(0, 0, 0), "N"][0] == toxicity.REACH and table[(0, 0, 0), "Q"][1] == 2 and table[(0, 2, 0), "Q"][1] == 0
+    table, start = toxicity.GRAMMAR, toxicity.START
+    assert table[start, "N"][0] == toxicity.REACH and table[start, "Q"][1] == 2 and table[table[start, "Q"], "Q"][1] == 0
+    assert table[start, "I"][3] == 1 and table[table[start, "T"], "P"][4] == toxicity.REACH + 1
     assert toxicity.clause(list("PI"), [0, 2.0]) == [(1, 2.0)]
     assert toxicity.clause(list("NOI"), [0, 0, 2.0]) == [(2, 2.0)]
     assert toxicity.clause(list("RI"), [0, 2.0]) == [(3, 2.0)]
     assert toxicity.clause(list("OI"), [0, 2.0]) == [(0, 2.0)]
+    assert toxicity.clause(list("OTP"), [0, 1.0, 0]) == [(5, 1.0)] and toxicity.clause(list("TOOOOP"), [1.0, 0, 0, 0, 0, 0]) == [(4, 1.0)]
+    assert toxicity.clause(list("NTP"), [0, 1.0, 0]) == [(6, 1.0)] and toxicity.clause(list("QTPQ"), [0, 1.0, 0, 0]) == [(7, 1.0)]
+
+
+def plain_features(text, lexicon):
+    """A token-by-token scanner without tables: the classes of every match, by looking around it."""
+    sums, best, seen, tokens = [0.0] * 8, 0.0, set(), toxicity.TOKENS.findall(text.lower())
+
+    def weight(t):
+        known = [lexicon[k] for k in ([t + "$"] if 3 <= len(t) <= 12 else []) + [t[:n] for n in (8, 7, 6, 5, 4) if n <= len(t)] if k in lexicon]
+        return known[0] if known and known[0] >= toxicity.MIN_WEIGHT else 0.0
+
+    clauses = [[]]
+    for t in tokens:
+        clauses.append([]) if t in ".!?;\n" else clauses[-1].append(t)
+    for words in clauses:
+        kinds = [toxicity.SYMBOLS.get(w) or ("I" if weight(w) > 0 else "O") for w in words]
+        found = 0.0
+        for k, kind in enumerate(kinds):
+            if kind not in "IT":
+                continue
+            w = weight(words[k]) if kind == "I" else max(1.0, weight(words[k]))
+            reported = "R" in kinds[:k] or kinds[:k].count("Q") % 2
+            met = any("P" in kinds[j + 1 : j + 1 + toxicity.REACH] for j, x in enumerate(kinds) if x == "T")
+            aimed = "P" in kinds if kind == "I" else met or "P" in kinds and "I" in kinds
+            sums[4 * (kind == "T") + (3 if reported else 2 if "N" in kinds[max(0, k - toxicity.REACH) : k] else 1 if aimed else 0)] += w
+            if kind == "I":
+                found += w
+                seen.add(words[k])
+        best = max(best, found)
+    dense, forms = np.log1p(100 * sum(sums[:4]) / (len(tokens) + 10)), np.log1p(len(seen))
+    return [*np.log1p(sums), np.log1p(best), dense, forms, dense * forms, np.log1p(len(tokens))]
+
+
+def test_toxicity_against_a_plain_scanner(spark):
+    rng = random.Random(11)
+    lexicon = {"idio": 2.0, "idiotically$"[:8]: 0.1, "fool$": 1.5, "stup": 3.0, "kill$": 2.5}
+    words = "you they people not never said kill hurt burn idiot idiots idiotica fool foolish stupid day fine . ! ; \" the long".split()
+    texts = [None, "", "I will kill you all tonight.", " ".join(["word"] * 300 + ["idiot"] + ["word"] * 5000 + ["you"])] + [" ".join(rng.choices(words, k=rng.randint(1, 200))) for _ in range(150)]
+    scanner = toxicity.Scanner(lexicon)
+    for t in texts:
+        assert np.allclose(scanner.features(t or ""), plain_features(t or "", lexicon))
+    assert scanner.features(texts[2])[5] > 0 and scanner.features(texts[3])[1] > 0  # a threat alone; a target far off
+    model = {"lexicon": lexicon, "weights": np.array([rng.uniform(-1, 1) for _ in range(toxicity.WIDTH + 1)])}
+    got = {r.doc_id: r.score for r in toxicity.score(docs(spark, list(enumerate(texts))), model).collect()}
+    for i, t in enumerate(texts):
+        x = np.array(plain_features(t or "", lexicon)) @ model["weights"][:-1] + model["weights"][-1]
+        assert abs(got[i] - 1 / (1 + np.exp(-np.clip(x, -30, 30)))) < 1e-9
 
 
 @pytest.mark.parametrize(("op", "column", "parts", "fold", "floor"), [("op3", "toxic", 5, 0, 0.85), ("op10", "quality", 3, 1, 0.95)])
