@@ -23,6 +23,8 @@ GRAM = 4  # a power of two, as WINDOW: each is reached by doubling
 WINDOW = 8
 SHORT = ((16, 1), (32, 2), (64, 4))  # up to so many grams: the window
 POSITION_BITS = 27
+STEP = 32
+SPLIT = 32  # equal ranges of ids in each of the ranges of equal rows
 BUCKETS = 16384
 
 
@@ -79,15 +81,27 @@ def shown(chosen: Column) -> Column:
 def with_next(docs: DataFrame, id_col: str, *carried: str, buckets: int = BUCKETS, prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Rows of ``docs`` with ``next_<c>`` for each carried column: that of the next row by id.
 
-    Ids fall into at most ``buckets`` equal ranges. A range's first row is also sent, as a guest, to
-    the last range before it that has rows (the first range's to the very last), so each range finds
-    every next row on its own: rows shuffle once and no window runs over the whole table, only over
-    one row a range. ``prepare`` runs after the shuffle and before the window.
+    Ids fall into ``buckets / SPLIT`` ranges of about as many rows each, wherever the ids lie, and each of
+    those into ``SPLIT`` equal ranges of ids. A range's first row is also sent, as a guest, to the last range before it that has rows (the first range's to
+    the very last), so each range finds every next row on its own: rows shuffle once and no window runs
+    over the whole table, only over one row a range. ``prepare`` runs after the shuffle and before the
+    window.
     """
-    low, high = docs.agg(F.min(id_col), F.max(id_col)).first()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // buckets))
-    bucket = F.coalesce(F.floor((F.col(id_col) - F.lit(low or 0)) / width), F.lit(-1)).cast("long")
-    ranged = docs.withColumn("_bucket", bucket)
+    rest = [c for c in docs.columns if c != id_col]
+    number = F.col(id_col).cast("long")
+    parts = max(1, buckets // SPLIT)
+    low, high, shares = docs.agg(F.min(number), F.max(number), F.percentile_approx(number, [k / parts for k in range(1, parts)] or [0.5], 20 * parts)).first()
+    low, high = low or 0, high or 0
+    starts = sorted({low, *(shares or [])})
+    widths = [-(-(b - a) // SPLIT) for a, b in zip(starts, [*starts[1:], high + 1], strict=True)]
+    listed = lambda some: f"array({', '.join(f'{x}L' for x in some)})"
+    steps = [starts[k : k + STEP] for k in range(0, len(starts), STEP)]  # looked up in two steps
+    past = lambda some: f"size(filter({some}, b -> b <= _id))"
+    docs = docs.withColumn("_id", number).withColumn("_step", F.expr(past(listed(s[0] for s in steps))))
+    docs = docs.withColumn("_part", F.expr(f"(_step - 1) * {STEP} + {past(f'get(array({", ".join(map(listed, steps))}), _step - 1)')}"))
+    place = F.expr(f"(_part - 1) * {SPLIT} + (_id - get({listed(starts)}, _part - 1)) div get({listed(widths)}, _part - 1)")
+    bucket = F.when(number.isNull(), F.lit(-1)).otherwise(place).cast("long")
+    ranged = docs.withColumn("_bucket", bucket).drop("_id", "_step", "_part")
     firsts = ranged.groupBy("_bucket").agg(F.min(id_col).alias("_first"))
     line, all_rows = Window.orderBy("_bucket"), Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     firsts = cut(firsts.select(F.col("_bucket").alias("_of"), "_first", F.coalesce(F.lag("_bucket").over(line), F.last("_bucket").over(all_rows)).alias("_before")))
@@ -99,7 +113,7 @@ def with_next(docs: DataFrame, id_col: str, *carried: str, buckets: int = BUCKET
         .withColumns({"_bucket": F.col("_at.b"), "_guest": F.col("_at.guest")}).drop("_at", "_of", "_first", "_before")
     )
     dealt = prepare(sent.repartition("_bucket"))
-    order = Window.partitionBy("_bucket").orderBy("_guest", id_col, *[c for c in docs.columns if c != id_col])
+    order = Window.partitionBy("_bucket").orderBy("_guest", id_col, *rest)
     return dealt.withColumns({f"next_{c}": F.lead(c).over(order) for c in carried}).where("NOT _guest").drop("_bucket", "_guest")
 
 

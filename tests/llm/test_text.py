@@ -70,7 +70,7 @@ def test_winnowing(spark):
     assert a & b
 
 
-@pytest.mark.parametrize("ids", [[5, 9, 100, 7, 100_000], [3], [-5, 0, 2, 2]])
+@pytest.mark.parametrize("ids", [[5, 9, 100, 7, 100_000], [3], [-5, 0, 2, 2], [*range(40), -(10**15), 10**15]])
 def test_fingerprints(spark, ids):
     rng = random.Random(2)
     texts = [" ".join(rng.choices(["alpha", "beta", "é", "漢字"], k=rng.randint(0, 60))) if k else None for k in range(len(ids))]
