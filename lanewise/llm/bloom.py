@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lanewise.llm.common import cut
 
 HASHES = 2
-MAX_BITS = 1 << 27  # 16 MB of bitmap: the broadcast's bound at any corpus size
+MAX_BITS = 1 << 29  # 64 MB of bitmap: the broadcast's bound at any corpus size
 
 
 def bits_for(rows: int, max_bits: int = MAX_BITS) -> int:

@@ -1,7 +1,7 @@
 """Exact duplicates with two Bloom passes, all in DataFrame functions.
 
 Pass one hashes each normalised text to a few slots and counts slots; slots hit at least
-twice become a bitmap of at most ``max_bits`` bits (16 MB at the default), which is therefore safe to
+twice become a bitmap of at most ``max_bits`` bits (64 MB at the default), which is therefore safe to
 broadcast at any corpus size. Pass two tests each row against the bitmap: a row with a slot hit
 only once cannot have a copy and passes straight through; the others shuffle by the text's
 SHA-256 and are grouped exactly. A full bitmap only sends more rows through the shuffle; it
@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanewise.llm.bloom import MAX_BITS, bits_for, flag_shared, shared_slots
-from lanewise.llm.common import table, without
+from lanewise.llm.common import cut, table, without
 
+FEW = 100_000  # groups broadcast at most, of some 100 bytes each
 ADDED = ("keep_id", "group_size", "kept", "text_sha256")
 
 
@@ -42,8 +43,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         {"keep_id": F.col(id_col), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)}
     )
     maybe = flagged.where("_shared").drop("_shared")
-    groups = maybe.groupBy("text_sha256").agg(F.min(id_col).alias("keep_id"), F.count("*").alias("group_size"))
-    grouped = maybe.join(groups, "text_sha256").withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id")))
+    # written first, so that the join's sides are plain shuffles, whose hot keys Spark splits; few groups are broadcast
+    groups = cut(maybe.groupBy("text_sha256").agg(F.min(id_col).alias("keep_id"), F.count("*").alias("group_size")))
+    grouped = maybe.join(F.broadcast(groups) if groups.count() <= FEW else groups, "text_sha256").withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id")))
     return alone.unionByName(grouped).select(*[F.col(f"`{c}`") for c in hashed.columns if c != "text_sha256"], *ADDED)
 
 

@@ -24,7 +24,7 @@ from lanewise.llm.common import cut, table
 CAPACITY = 2048
 NODES = 6000
 WIDTH = 3
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 CHUNK_CHARS = 1_000_000
 PIECES = "piece int, start long, length long, ids_crc32 long"
 

@@ -34,8 +34,8 @@ KGRAM = 64
 CROWD = 4_000
 PASSAGE = 49  # words: a passage of over 50 less its first and last, which may touch its neighbours
 CODE = 4  # bytes of a word's hash
-BUFFER = 1 << 20  # bytes of documents hashed at a time
-BATCH = 2 << 20  # bytes of spans in one suffix array, if their groups allow
+BUFFER = 1 << 18  # bytes of documents hashed at a time
+BATCH = 1 << 19  # bytes of spans in one suffix array, if their groups allow
 SPAN = ["h", "left", "digest"]
 RUNS = "id long, crc long, h long, left int, digest long, lo long, size int"
 
