@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,19 +17,30 @@ def fold(id_col: str, parts: int) -> Column:
     return F.crc32(F.col(id_col).cast("string")) % F.lit(parts)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and return it without its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's checkpoint folder."""
+    found = spark.sparkContext._jsc.sc().getCheckpointDir()
+    folder = found.get() if found.isDefined() else spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests on
-    one machine) is a folder of our own used.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lanewise-ck-"))
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and return it without its lineage."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """Like ``cut``, as a compressed table: for wide or many rows."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def beside(rows: DataFrame, small: DataFrame, key: str, most: int = 1_000_000) -> DataFrame:
     """Inner join; ``small`` is broadcast only if a count shows at most ``most`` rows of it."""
     return rows.join(F.broadcast(small) if small.count() <= most else small, key)

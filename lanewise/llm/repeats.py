@@ -15,8 +15,6 @@ looks for windows of that many words, so a passage counts by its words, long or
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanewise.llm.bloom import bits_for, flag_shared, shared_slots
-from lanewise.llm.common import table, without
+from lanewise.llm.common import saved, table, without
 from lanewise.llm.suffixes import Rolling, repeated_windows
 
 WINDOW = 400
@@ -40,16 +38,6 @@ SPAN = ["h", "left", "digest"]
 RUNS = "id long, crc long, h long, left int, digest long, lo long, size int"
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` written as a table in the shared checkpoint folder, and read back."""
-    spark = df.sparkSession
-    folder = spark.sparkContext._jsc.sc().getCheckpointDir()
-    base = folder.get() if folder.isDefined() else spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lanewise-ck-")
-    path = f"{base.rstrip('/')}/repeats-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def _runs(data: np.ndarray, ends: np.ndarray, window: int, kgram: int) -> tuple[np.ndarray, ...]:
     """First window, last window, anchor and anchor hash of every run of the joined texts."""
     rolling = Rolling(data)
