@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +44,23 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def released(each: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``each`` for ``mapInArrow``; a worker gives free memory back after its task, since it lives on
+    beside the executor's later stages."""
+
+    def run(batches: Batches) -> Batches:
+        yield from each(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return run
+
+
 def beside(rows: DataFrame, small: DataFrame, key: str, most: int = 1_000_000) -> DataFrame:
     """Inner join; ``small`` is broadcast only if a count shows at most ``most`` rows of it."""
     return rows.join(F.broadcast(small) if small.count() <= most else small, key)

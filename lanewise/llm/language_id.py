@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanewise.llm.common import fold, table
+from lanewise.llm.common import fold, released, table
 
 SLOTS = 1 << 20
 HASHES = 3
@@ -91,7 +91,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict:
     """Filters from every row with text and language; the driver gets bounded tables only."""
     seen = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string"), F.col(text_col))
-    counts = seen.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = seen.mapInArrow(released(_count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     shares = counts.join(F.broadcast(totals), "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("share"), "total").where(F.col("share") >= MIN_SHARE)
     grams = (
@@ -159,7 +159,7 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], [id_col, "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(score, f"`{id_col}` {kind}, lang_pred string, score double")
+    return docs.select(id_col, text_col).mapInArrow(released(score), f"`{id_col}` {kind}, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,7 +172,7 @@ def keep_identified(docs: DataFrame, model: dict, id_col: str = "doc_id", text_c
             preds, _ = decide(shared.value, batch.column(at).to_pylist())
             yield batch.filter(pa.array([p != UNKNOWN for p in preds], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(released(keep), docs.schema)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lanewise.llm.common import cut, table
+from lanewise.llm.common import cut, released, table
 
 CAPACITY = 2048
 NODES = 6000
@@ -128,9 +128,10 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 [batch.column(0).take(pa.array(where, pa.int64())), pa.array(columns[:, 0].astype(np.int32)), *(pa.array(np.ascontiguousarray(columns[:, k])) for k in (1, 2, 3))],
                 [id_col, "piece", "start", "length", "ids_crc32"],
             )
+        words.new, words.old, words.bases = {}, {}, {}  # the tokenizer stays with the worker, its words do not
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(cut_up, f"`{id_col}` {kind}, {PIECES}")
+    return docs.select(id_col, text_col).mapInArrow(released(cut_up), f"`{id_col}` {kind}, {PIECES}")
 
 
 def lower_bound(counts: np.ndarray, capacity: int) -> int:

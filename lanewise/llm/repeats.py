@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanewise.llm.bloom import bits_for, flag_shared, shared_slots
-from lanewise.llm.common import saved, table, without
+from lanewise.llm.common import released, saved, table, without
 from lanewise.llm.suffixes import Rolling, repeated_windows
 
 WINDOW = 400
@@ -93,7 +93,7 @@ def runs(docs: DataFrame, window: int, kgram: int) -> DataFrame:
                     )
                 start = end
 
-    return docs.mapInArrow(each, RUNS)
+    return docs.mapInArrow(released(each), RUNS)
 
 
 def _pieces(flags: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -170,11 +170,11 @@ def repeated(docs: DataFrame, window: int = WINDOW, kgram: int = KGRAM, crowd: i
 
     keyed = docs.select(F.col("id").alias("_id"), "text", F.col("crc").alias("_crc"))
     fetched = keyed.join(asked, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_crc") == F.col("crc"))).select("text", "asked")
-    bodies = saved(fetched.mapInArrow(fetch, "h long, left int, digest long, kinds long, body binary"))
+    bodies = saved(fetched.mapInArrow(released(fetch), "h long, left int, digest long, kinds long, body binary"))
     few = bodies.where(F.col("kinds") <= crowd).select(*SPAN, "body").repartition("h").sortWithinPartitions(*SPAN)
-    parts = few.mapInArrow(lambda b: _compare(b, window), "h long, left int, digest long, a int, b int")
+    parts = few.mapInArrow(released(lambda b: _compare(b, window)), "h long, left int, digest long, a int, b int")
     crowded = bodies.where(F.col("kinds") > crowd).select(*SPAN, "body").dropDuplicates(SPAN)
-    single = crowded.mapInArrow(lambda b: _windows(b, window), "h long, left int, digest long, key long, a int")
+    single = crowded.mapInArrow(released(lambda b: _windows(b, window)), "h long, left int, digest long, key long, a int")
     twice = single.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     alone = single.join(twice, "key").select(*SPAN, "a", (F.col("a") + window).alias("b"))
     removed = whole.unionByName(parts).unionByName(alone)
@@ -213,7 +213,7 @@ def _without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str, bound
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *added], [*batch.schema.names[:-1], "n_bytes", "n_removed", "n_spans", "kept"])
 
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return joined.select(*[F.col(f"`{c}`") for c in kept.columns], "_gone").mapInArrow(each, f"{shape}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return joined.select(*[F.col(f"`{c}`") for c in kept.columns], "_gone").mapInArrow(released(each), f"{shape}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, crowd: int = CROWD) -> DataFrame:
@@ -245,7 +245,7 @@ def _coded(texts: DataFrame) -> DataFrame:
                 codes.append((Rolling(data).of(start, end - start) >> np.uint64(32)).astype("<u4").tobytes() if len(start) else b"")
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(codes, pa.binary())], ["id", "crc", "text"])
 
-    return texts.mapInArrow(each, "id long, crc long, text binary")
+    return texts.mapInArrow(released(each), "id long, crc long, text binary")
 
 
 def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = PASSAGE, crowd: int = CROWD) -> DataFrame:
