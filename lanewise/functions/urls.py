@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
 
 HOST = r"^https?://(?:[^/@?#]*@)?(\[[^\]]+\]|[^/:?#]+)"
+PORT = r"^https?://(?:[^/@?#]*@)?(?:\[[^\]]+\]|[^/:?#]+):([0-9]+)(?:[/?#]|$)"
 TOKEN_HINT = r"(?i)[?&](token|auth|auth_key|sign|signature|expires?|wssecret|wstime|txsecret|txtime)="
 MAX_URL = 2048
 # fixed values: query keys that change from day to day and do not name a route
@@ -45,9 +46,22 @@ def urls_in(raw: Column) -> Column:
     return F.regexp_extract_all(raw, F.lit(r"(https?://[^\s#]+)"), 1)
 
 
+def port(url: Column) -> Column:
+    """The port that the URL names, 1 to 65535; null for none."""
+    said = F.regexp_extract(url, PORT, 1).try_cast("int")
+    return F.when((said >= 1) & (said <= 65535), said)
+
+
 def route_key(url: Column) -> Column:
-    """Scheme-less identity of a route: host and path, slashes collapsed, query dropped."""
-    return F.concat(host(url), F.regexp_replace(path(url), "/+", "/"))
+    """Identity of a route: scheme, host, port if named, decoded path with slashes collapsed; no query.
+
+    A path with a broken escape stays as it is; anything but http(s) gives an empty key.
+    """
+    raw = path(url)
+    decoded = F.coalesce(F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))), raw)
+    place = F.regexp_replace(F.when(decoded == "", F.lit("/")).otherwise(decoded), "/+", "/")
+    named = F.concat(F.lower(F.regexp_extract(url, "^(https?)://", 1)), F.lit("://"), host(url), F.coalesce(F.concat(F.lit(":"), port(url)), F.lit("")), place)
+    return F.when(host(url) == "", F.lit("")).otherwise(named)
 
 
 def without_volatile(url: Column, keys: tuple[str, ...] = VOLATILE) -> Column:

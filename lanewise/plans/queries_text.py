@@ -12,6 +12,7 @@ from lanewise.sources import playlists
 
 PATH_SQL = "regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1)"
 QUERY_SQL = r"regexp_extract(url, '^[^?#]*\?([^#]*)', 1)"
+PORT_SQL = r"^https?://(?:[^/@?#]*@)?(?:\[[^\]]+\]|[^/:?#]+):([0-9]+)(?:[/?#]|$)"
 VOLATILE_SQL = ", ".join(f"'{v}'" for v in urls.VOLATILE)
 
 
@@ -21,7 +22,11 @@ def _(spark, d):
     return table(spark, d, "pages").select("page_id", urls.host(u).alias("host"), urls.path(u).alias("path"), urls.query(u).alias("query"), urls.literal_family(urls.host(u)).alias("family"))
 
 
-@query("route_key", f"SELECT page_id, {HOST_SQL} || regexp_replace({PATH_SQL}, '/+', '/', 'g') AS route FROM pages")
+@query("route_key", f"""
+WITH u AS (SELECT page_id, url, {HOST_SQL} AS host, url_decode({PATH_SQL}) AS path, TRY_CAST(regexp_extract(url, '{PORT_SQL}', 1) AS INTEGER) AS port FROM pages)
+SELECT page_id, CASE WHEN host = '' THEN '' ELSE lower(regexp_extract(url, '^(https?)://', 1)) || '://' || host
+  || CASE WHEN port BETWEEN 1 AND 65535 THEN ':' || port ELSE '' END
+  || regexp_replace(CASE WHEN path = '' THEN '/' ELSE path END, '/+', '/', 'g') END AS route FROM u""")
 def _(spark, d):
     return table(spark, d, "pages").select("page_id", urls.route_key(F.col("url")).alias("route"))
 
