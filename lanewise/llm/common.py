@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ctypes
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -20,10 +22,18 @@ def fold(id_col: str, parts: int) -> Column:
     return F.crc32(F.col(id_col).cast("string")) % F.lit(parts)
 
 
+_own: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's checkpoint folder."""
+    """The folder that all executors share: the session's checkpoint folder. Where it is unset, a
+    session on one machine, as in tests, gets a temporary folder; one on a cluster must set it."""
     found = spark.sparkContext._jsc.sc().getCheckpointDir()
     folder = found.get() if found.isDefined() else spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and re.match(r"local(\[|$)", spark.sparkContext.master):
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="lanewise-"))
+        return _own[0]
     if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return folder
