@@ -1,6 +1,6 @@
 """Selections with interacting counters: each pick changes what the next one costs.
 
-They have no window form. Every function partitions the rows by ``group`` and folds each group in
+All but ``capped_category`` have no window form: each partitions the rows by ``group`` and folds each group in
 order inside one pandas call; a group is bounded by ``policy.greedy_rows``, checked before it
 is gathered, and a larger one is an error rather than a cut.
 """
@@ -11,7 +11,7 @@ from collections import Counter
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanewise.plans.policy import DEFAULT, Policy
@@ -81,23 +81,12 @@ def penalised(rows: DataFrame, group: str, key: str, host: str, score: str, pena
     return _fold(rows, group, pick, policy)
 
 
-def capped_category(rows: DataFrame, group: str, category: str, capped: str, cap: int, order: str, limit: int, policy: Policy = DEFAULT) -> DataFrame:
-    """In order, up to ``limit`` rows, of which at most ``cap`` of the category ``capped``."""
-
-    def pick(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order).reset_index(drop=True)
-        chosen, taken = [], 0
-        for i, value in enumerate(frame[category].tolist()):
-            if len(chosen) >= limit:
-                break
-            if value == capped:
-                if taken >= cap:
-                    continue
-                taken += 1
-            chosen.append(i)
-        return _numbered(frame, chosen)
-
-    return _fold(rows, group, pick, policy)
+def capped_category(rows: DataFrame, group: str, category: str, capped: str, cap: int, order: str, limit: int) -> DataFrame:
+    """In order, up to ``limit`` rows, of which at most ``cap`` of the category ``capped``: two ranks, groups of any size."""
+    held = F.col(category).eqNullSafe(F.lit(capped))
+    nth = F.row_number().over(Window.partitionBy(group, held).orderBy(order))
+    fit = rows.withColumn("_nth", nth).where(~held | (F.col("_nth") <= cap)).drop("_nth")
+    return fit.withColumn("pos", F.row_number().over(Window.partitionBy(group).orderBy(order))).where(F.col("pos") <= limit)
 
 
 def admitted(rows: DataFrame, group: str, cost: str, order: str, budget: float, policy: Policy = DEFAULT) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -120,3 +120,14 @@ def mismatches(expected: DataFrame, actual: DataFrame, key: str, value: str) ->
     a, b = expected.select(key, F.col(value).alias("_a"), F.lit(1).alias("_in_a")), actual.select(key, F.col(value).alias("_b"), F.lit(1).alias("_in_b"))
     problem = F.when(F.col("_in_b").isNull(), "missing").when(F.col("_in_a").isNull(), "unexpected").when(~F.col("_a").eqNullSafe(F.col("_b")), "differs")
     return a.join(b, key, "full_outer").select(key, problem.alias("problem")).where("problem IS NOT NULL")
+
+
+def imported(pending: DataFrame, incoming: DataFrame, key: str, rebuild: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``pending`` and those incoming rows that it lacks and that last when both are rebuilt together.
+
+    ``rebuild`` maps rows to the rows it allows, so labels that conflict across batches keep a new row out;
+    nothing pending is lost. Of incoming rows with one key, one is added.
+    """
+    allowed = rebuild(pending.unionByName(incoming)).select(key)
+    fresh = incoming.join(pending.select(key), key, "left_anti").join(allowed, key, "left_semi").dropDuplicates([key])
+    return pending.unionByName(fresh)

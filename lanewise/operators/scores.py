@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lanewise.functions import urls
 from lanewise.plans.policy import DEFAULT, Policy
 
 H264 = ("h264", "avc", "avc1")
@@ -92,3 +93,92 @@ def promotable(height: Column, fps: Column, scan: Column, headroom: Column, stre
     """1080p50 or 1080i at 25 frames and above, with room to play."""
     smooth = (height >= 1080) & (((scan == "p") & (fps >= 49)) | ((scan == "i") & (fps >= 24.5)))
     return smooth & (_zero(headroom) * _zero(stream_mbps) >= F.greatest(F.lit(6.0), 1.35 * _zero(stream_mbps))) & (_zero(startup) <= 4)
+
+
+# fixed values: points of a route before it is measured
+STATIC_POINTS = {
+    "preferred_host": 42, "unstable_host": -28, "edge_host": 190, "edge_url": 260, "operator_host": -90, "placeholder": -500, "part_time": -18, "low_value": -8,
+    "chinese_group": 28, "han_name": 22, "headers": -8, "curated": 6, "preferred_route": 220, "public_pay": 28,
+}
+
+
+def _yes(c: Column) -> Column:
+    return F.coalesce(c, F.lit(False))
+
+
+def steps(value: Column, at_least: Sequence[tuple[float, float]], below: float = 0.0) -> Column:
+    """Points of the first (bound, points) whose bound the value reaches, highest bound first."""
+    found = F.lit(below)
+    for bound, points in sorted(at_least):
+        found = F.when(value >= bound, points).otherwise(found)
+    return found
+
+
+def static_score(url: Column, height: Column, signals: Mapping[str, Column], core: Column, satellite: Column, pay_group: Column) -> Column:
+    """Points for the address, the labelled height and each signal of ``STATIC_POINTS`` that is given and true."""
+    name, said = urls.host(url), urls.port(url)
+    score = F.when(url.startswith("https://"), 26.0).otherwise(0.0) - F.when(name.rlike(r"^\d+\.\d+\.\d+\.\d+$"), 24).otherwise(0) - F.when(_yes(~said.isin(80, 443)), 12).otherwise(0)
+    score = score + F.when(height > 1080, 25).when(height == 1080, 55).when(height == 720, 15).when((height > 0) & (height < 720), -16).otherwise(0)
+    for signal, held in signals.items():
+        score = score + F.when(held, STATIC_POINTS[signal]).otherwise(0)
+    return score + F.when(core, 110).when(satellite, 55).when(pay_group, 35).otherwise(0)
+
+
+def measured_score(static: Column, history: Column, ok: Column, geo: Column, duplicate: Column, speed: Column, latency: Column, height: Column, stream_mbps: Column, checks: Column, recheck_failed: Column, core: Column, ipv6: Column, dual: Column) -> Column:
+    """Score of a probed route: picture, throughput, room to play, repeated checks, name resolution."""
+    fast, mbps = F.least(_zero(speed), F.lit(40.0)), _zero(stream_mbps)
+    clear, room = F.least(mbps, F.lit(12.0)), F.try_divide(fast, mbps)
+    picture = F.when(height == 1080, 70).when(height == 720, 20).when(height > 1080, 25).when((height != 0) & (height < 720), -30).otherwise(0)
+    of_core = F.when(mbps < 1.2, -130.0).when(room >= 1.5, clear * 25 + F.least(room, F.lit(3.0)) * 7).when(room >= 1.25, clear * 18).when(room >= 1.05, clear * 8 - 70).otherwise(-260.0)
+    quality = F.when(mbps == 0, 0.0).when(core, of_core).otherwise(clear * 5 - F.when(room < 1.05, 70).otherwise(0))
+    checked = F.when(_zero(checks) >= 2, 35).when(_yes(recheck_failed), -65).otherwise(0)
+    slow = F.coalesce(F.nullif(latency.cast("double"), F.lit(0.0)), F.lit(10.0))
+    base = static + history
+    full = base + fast * F.when(core, 0.8).otherwise(2.2) - slow * 7 + checked + picture + quality + F.when(ipv6, 18).otherwise(0) + F.when(dual, 8).otherwise(0)
+    return F.when(_yes(geo), base - 25).when(~_yes(ok) | _yes(duplicate), -9999.0).otherwise(full)
+
+
+def mainland_score(static: Column, history: Column, usable: Column, geo: Column, height: Column, stream_mbps: Column, codec: Column, checks: Column, recheck_failed: Column, ipv6: Column, dual: Column) -> Column:
+    """Score of a route measured from abroad: its speed says nothing, so picture and checks decide."""
+    mbps, tall = _zero(stream_mbps), _zero(height)
+    score = F.greatest(F.lit(-80.0), F.least(_zero(static), F.lit(80.0))) * 0.10 + F.greatest(F.lit(-60.0), F.least(_zero(history), F.lit(90.0))) * 0.08
+    score = score + F.when(tall > 0, steps(tall, [(2160, 260.0), (1080, 190.0), (720, 80.0)], -120.0)).otherwise(-220.0)
+    score = score + F.least(mbps, F.lit(12.0)) * 16 - F.when((tall >= 1080) & weak_h264(codec, mbps), 220).otherwise(0)
+    score = score + F.when(_zero(checks) >= 2, steps(_zero(checks), [(3, 65.0)], 40.0)).when(_yes(recheck_failed), -70.0).otherwise(0.0)
+    score = score + F.when(ipv6, 8).otherwise(0) + F.when(dual, 4).otherwise(0)
+    return F.when(_yes(geo), -9000.0).when(~_yes(usable), -9999.0).otherwise(score)
+
+
+def lineup_score(height: Column, bitrate: Column, speed: Column, startup: Column, codec: Column, sport: Column) -> Column:
+    score = capped_sum(0.0, [(height, float("inf"), 100.0), (bitrate, 30.0, 250.0), (speed, 150.0, 8.0), (startup, 30.0, -30.0)], 6)
+    return score + F.when(F.lower(codec).isin("hevc", "h265"), 250).otherwise(0) + F.when(sport, 100).otherwise(0)
+
+
+def easy_ready(fit: Column, checks: Column, failed: Column, geo: Column, mainland: Column, recent: Column) -> Column:
+    """Three fresh checks; unless mainland, also three in four of a history of four or more."""
+    share = F.aggregate(recent, F.lit(0), lambda a, x: a + x) / F.nullif(F.size(recent), F.lit(0))
+    return _yes(fit) & (_zero(checks) >= 3) & ~_yes(failed) & ~_yes(geo) & (_yes(mainland) | ~_yes((F.size(recent) >= 4) & (share < 0.75)))
+
+
+def family_core_usable(acceptable: Column, checks: Column, recheck_failed: Column, geo: Column) -> Column:
+    return _yes(acceptable) & (_zero(checks) >= 2) & ~_yes(recheck_failed) & ~_yes(geo)
+
+
+def hd_pass(ok: Column, height: Column, stream_mbps: Column, first: Column, second: Column, startup: Column, strict: bool) -> Column:
+    """1080 lines or more, below 2160, with room in the slower of two downloads (no second: the first)."""
+    least, factor, rate = (7.0, 1.2, 5.0) if strict else (5.0, 1.5, 2.5)
+    slower = F.least(_zero(first), F.coalesce(F.nullif(second.cast("double"), F.lit(0.0)), _zero(first)))
+    return _yes(ok) & (_zero(height) >= 1080) & (_zero(height) < 2160) & (_zero(stream_mbps) >= rate) & (slower >= F.greatest(F.lit(least), _zero(stream_mbps) * factor)) & (_zero(startup) <= 2.0)
+
+
+def household_status(observed: Column, deep: Column, samples: Column, sample_bytes: Column, stream_mbps: Column, download: Column, codec: Column, height: Column, min_height: Column, accepted: Column, hevc: float = 2.5, other: float = 3.0) -> Column:
+    """Status derived again from the evidence; rows that were no success keep theirs.
+
+    A success needs two samples, each of 65,536 to ``sample_bytes`` bytes in 0.001 to 30 seconds; anything else is an error.
+    """
+    rate = _zero(stream_mbps)
+    whole = (F.size(samples) == 2) & F.forall(samples, lambda s: s["downloaded_bytes"].between(F.lit(65536), sample_bytes) & s["elapsed_s"].between(0.001, 30.0))
+    poor = (_zero(height) < min_height) | (rate < F.when(F.lower(codec).isin("hevc", "h265"), hevc).otherwise(other))
+    derived = F.when(~_yes(deep) | (rate <= 0), "UNKNOWN").when((F.try_divide(_zero(download), rate) < 1.05) | (poor & ~_yes(accepted)), "DEGRADED").otherwise("GOOD")
+    success = observed.isin("GOOD", "DEGRADED")
+    return F.when(success & ~_yes(whole), F.raise_error(F.lit("successful measurement lacks two whole samples")).cast("string")).when(success, derived).otherwise(observed)

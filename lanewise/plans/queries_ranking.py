@@ -135,7 +135,9 @@ def _(spark, d):
     return greedy.penalised(rows, "c_mktsegment", "c_nationkey", "host", "c_acctbal", 280.0)
 
 
-@query("greedy_capped_category")
+@query("greedy_capped_category", """
+WITH c AS (SELECT p_brand, p_type, p_partkey FROM part QUALIFY p_type <> 'ECONOMY' OR row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) <= 5)
+SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS pos FROM c QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) <= 40""")
 def _(spark, d):
     rows = table(spark, d, "part").select("p_brand", "p_type", "p_partkey")
     return greedy.capped_category(rows, "p_brand", "p_type", "ECONOMY", 5, "p_partkey", 40)
