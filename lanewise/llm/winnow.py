@@ -3,10 +3,10 @@
 A text's tokens (runs without white space, cut at ``TOKEN`` signs) are hashed, hashes of ``GRAM``
 neighbouring tokens are rolled together, and of every ``WINDOW`` neighbouring grams the smallest is
 chosen, the rightmost on ties. Two texts that share ``GRAM + WINDOW - 1`` tokens in a row therefore
-share a chosen gram. Texts of few grams use smaller windows (``SHORT``), so that they too have some
-choices; a smaller window's choices include a larger one's, so the guarantee stands between texts of any length. A chosen gram is one long: its hash in the high ``64 - POSITION_BITS - 1`` bits
-and, below, the largest position less its own, so that ``least`` alone picks the rightmost of equal
-hashes.
+share a chosen gram. Windows also hang over both ends of a text, so short texts have choices too and
+every text, of whatever length, is treated alike. A chosen gram is one long: its hash in the high
+``64 - POSITION_BITS - 1`` bits and, below, the largest position less its own, so that ``least`` alone
+picks the rightmost of equal hashes.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from lanewise.llm.common import cut, table
 TOKEN = 16
 GRAM = 4  # a power of two, as WINDOW: each is reached by doubling
 WINDOW = 8
-SHORT = ((16, 1), (32, 2), (64, 4))  # up to so many grams: the window
+BEYOND = (1 << 63) - 1  # stands before the first and after the last gram, above every gram
 POSITION_BITS = 27
 STEP = 32
 SPLIT = 32  # equal ranges of ids in each of the ranges of equal rows
@@ -51,15 +51,11 @@ def winnowed(df: DataFrame, text: str, out: str) -> DataFrame:
     df = df.withColumn("_gram", F.when(F.size("_gram") > 0, F.col("_gram")).otherwise(short))
     last = (1 << POSITION_BITS) - 1
     pack = lambda h, i: F.shiftleft(F.shiftrightunsigned(h, POSITION_BITS + 1), POSITION_BITS).bitwiseOR(F.lit(last) - i)
-    df = df.withColumn("_low1", F.transform("_gram", pack))
-    by = 1
-    while by < WINDOW:
-        df = df.withColumn(f"_low{2 * by}", _shifted(F.col(f"_low{by}"), by, lambda a, b: F.least(a, b)))
-        by *= 2
-    low = F.col(f"_low{WINDOW}")
-    for grams, window in SHORT[::-1]:
-        low = F.when(F.size("_low1") <= grams, F.col(f"_low{window}")).otherwise(low)
-    return df.withColumn(out, F.array_distinct(low)).drop("_hash", "_gram", *[c for c in df.columns if c.startswith("_low")])
+    edge = F.array_repeat(F.lit(BEYOND), WINDOW - 1)
+    df = df.withColumn("_low", F.transform("_gram", pack))
+    df = df.withColumn("_low", F.when(F.size("_low") > 0, F.concat(edge, F.col("_low"), edge)).otherwise(F.col("_low")))
+    df = _doubled(df, "_low", WINDOW, lambda a, b: F.least(a, b))
+    return df.withColumn(out, F.array_distinct("_low")).drop("_hash", "_gram", "_low")
 
 
 def hashes(chosen: Column) -> Column:

@@ -63,13 +63,45 @@ def test_winnowing(spark):
     grams = len(tokens) - winnow.GRAM + 1
     assert positions == sorted(positions) and all(any(a <= p < a + winnow.WINDOW for p in positions) for a in range(grams - winnow.WINDOW + 1))
     same = py_winnow(spark, "a " * 90)
-    assert [p for _, p in same] == list(range(winnow.WINDOW - 1, 90 - winnow.GRAM + 1))  # rightmost of ties
-    assert len(py_winnow(spark, " ".join(f"w{i}" for i in range(12)))) == 12 - winnow.GRAM + 1  # few grams: all
+    assert [p for _, p in same] == list(range(90 - winnow.GRAM + 1))  # rightmost of ties, in the windows over the ends too
+    for n in (1, 4, 5, 12, 20):  # the windows over the ends choose as a plain scan does
+        hashed = dict((p, h) for h, p in py_winnow(spark, " ".join(f"w{i}" for i in range(n))))
+        grams = max(n - winnow.GRAM + 1, 1)
+        assert {0, grams - 1} <= set(hashed)
+        assert all(any(a <= p < a + winnow.WINDOW for p in hashed) for a in range(1 - winnow.WINDOW, grams))
     shared = " ".join(f"s{i}" for i in range(winnow.GRAM + winnow.WINDOW - 1))
     a, b = ({h for h, _ in py_winnow(spark, t)} for t in (f"x y {shared} z", f"{shared} q q q"))
     assert a & b
 
 
+def test_windows_by_brute_force(spark):
+    """Every gram's hash, from texts of that gram alone, gives the choices of a plain scan."""
+    rng = random.Random(4)
+    for n in (6, 19, 40, 70):
+        tokens = [rng.choice("abcd") * rng.randint(1, 4) for _ in range(n)]
+        alone = [py_winnow(spark, " ".join(tokens[p : p + winnow.GRAM]))[0][0] for p in range(n - winnow.GRAM + 1)]
+        chosen = []
+        for a in range(1 - winnow.WINDOW, len(alone)):
+            best = min(range(max(a, 0), min(a + winnow.WINDOW, len(alone))), key=lambda p: (alone[p], -p))
+            chosen.append(best)
+        assert [p for _, p in py_winnow(spark, " ".join(tokens))] == list(dict.fromkeys(chosen))
+
+
+def test_likeness_does_not_jump_with_length(spark):
+    """One more token keeps most choices, and costs a longer text no more than one a gram shorter."""
+    rng, pairs = random.Random(5), []
+    for grams in (15, 16, 31, 32, 63, 64):
+        for _ in range(200):
+            tokens = [f"w{rng.randrange(10**9)}" for _ in range(grams + winnow.GRAM - 1)]
+            pairs.append((grams, " ".join(tokens), " ".join([*tokens, "more"])))
+    df = spark.createDataFrame(pairs, "grams int, a string, b string")
+    df = winnow.winnowed(winnow.winnowed(df, "a", "wa"), "b", "wb")
+    likeness = winnow.likeness(winnow.hashes(df.wa), winnow.hashes(df.wb)).alias("x")
+    mean = {r[0]: r[1] for r in df.select("grams", likeness).groupBy("grams").avg("x").collect()}
+    for grams in (16, 32, 64):
+        assert mean[grams] > mean[grams - 1] - 0.05 and mean[grams] > 0.65
+
+
 @pytest.mark.parametrize("ids", [[5, 9, 100, 7, 100_000], [3], [-5, 0, 2, 2], [*range(40), -(10**15), 10**15]])
 def test_fingerprints(spark, ids):
     rng = random.Random(2)
