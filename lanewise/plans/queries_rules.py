@@ -88,14 +88,15 @@ def measured(spark, d):
 
 
 @query("measured_score", f"""
-WITH m AS (SELECT *, least(speed, 40) AS fast, least(speed, 40) / nullif(mbps, 0) AS room, least(mbps, 12) AS q FROM {LINES})
+WITH m AS (SELECT *, least(floor(speed), 40) AS fast, least(floor(speed), 40) / nullif(mbps, 0) AS room, least(mbps, 12) AS q FROM {LINES})
 SELECT l_orderkey, l_linenumber, round(CASE WHEN geo THEN static + 10 - 25 WHEN NOT ok THEN -9999 ELSE static + 10 + fast * CASE WHEN core THEN 0.8 ELSE 2.2 END - coalesce(nullif(late, 0), 10) * 7 + CASE WHEN checks >= 2 THEN 35 WHEN failed THEN -65 ELSE 0 END
   + CASE WHEN height = 1080 THEN 70 WHEN height = 720 THEN 20 WHEN height > 1080 THEN 25 WHEN height <> 0 AND height < 720 THEN -30 ELSE 0 END
   + CASE WHEN mbps = 0 THEN 0 WHEN core THEN CASE WHEN mbps < 1.2 THEN -130 WHEN room >= 1.5 THEN q * 25 + least(room, 3) * 7 WHEN room >= 1.25 THEN q * 18 WHEN room >= 1.05 THEN q * 8 - 70 ELSE -260 END ELSE q * 5 - CASE WHEN room < 1.05 THEN 70 ELSE 0 END END
   + CASE WHEN v6 THEN 26 ELSE 0 END END, 6) + 0.0 AS score FROM m""")
 def _(spark, d):
     c = F.col
-    score = scores.measured_score(c("static"), F.lit(10.0), c("ok"), c("geo"), F.lit(False), c("speed"), c("late"), c("height"), c("mbps"), c("checks"), c("failed"), c("core"), c("v6"), c("v6"))
+    whole = F.floor(c("speed"))  # whole megabits: no score lies half-way between two rounded ones
+    score = scores.measured_score(c("static"), F.lit(10.0), c("ok"), c("geo"), F.lit(False), whole, c("late"), c("height"), c("mbps"), c("checks"), c("failed"), c("core"), c("v6"), c("v6"))
     return measured(spark, d).select("l_orderkey", "l_linenumber", F.round(score, 6).alias("score"))
 
 
