@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,20 +64,20 @@ def _runs(data: np.ndarray, ends: np.ndarray, window: int, kgram: int) -> tuple[
     return first, last, anchor[first], grams[anchor[first]], owner[first]
 
 
-def runs(docs: DataFrame, window: int, kgram: int) -> DataFrame:
-    """``(id, crc, h, left, digest, lo, size)`` of every run of every text of ``docs(id, crc, text)``."""
+def runs(docs: DataFrame, window: int, kgram: int, written: Callable[[bytes], bytes]) -> DataFrame:
+    """``(id, crc, h, left, digest, lo, size)`` of every run of every text of ``docs(id, crc, text)``, as
+    ``written`` writes it."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            ids, crcs = batch.column(0), batch.column(1).to_numpy()
+            ids, crcs, sizes_in = batch.column(0), batch.column(1).to_numpy(), pc.binary_length(batch.column(2)).to_numpy()
             start = 0
-            while start < len(texts):
+            while start < len(ids):
                 end, size = start, 0
-                while end < len(texts) and (end == start or size + len(texts[end]) <= BUFFER):
-                    size += len(texts[end])
+                while end < len(ids) and (end == start or size + sizes_in[end] <= BUFFER):
+                    size += int(sizes_in[end])
                     end += 1
-                some = texts[start:end]
+                some = [written(t) for t in batch.column(2).slice(start, end - start).to_pylist()]
                 joined = b"".join(some)
                 if len(joined) >= window:
                     sizes = np.fromiter(map(len, some), np.int64, len(some))
@@ -146,10 +147,15 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
             )
 
 
-def repeated(docs: DataFrame, window: int = WINDOW, kgram: int = KGRAM, crowd: int = CROWD) -> DataFrame:
+def _as_is(text: bytes) -> bytes:
+    return text
+
+
+def repeated(docs: DataFrame, window: int = WINDOW, kgram: int = KGRAM, crowd: int = CROWD, written: Callable[[bytes], bytes] = _as_is) -> DataFrame:
     """Stretches ``(id, crc, a, b)`` to remove from the texts of ``docs(id long, crc long, text binary)``
-    without nulls; they may overlap. Rows are told apart by id and crc."""
-    found = saved(runs(docs, window, kgram))
+    without nulls; they may overlap, and count bytes of what ``written`` makes of a text. Rows are told
+    apart by id and crc."""
+    found = saved(runs(docs, window, kgram, written))
     bits = bits_for(found.count())
     shared = flag_shared(found, "h", shared_slots(found, "h", bits), bits).where("_shared").drop("_shared")
     spans = saved(shared.groupBy(*SPAN).agg(F.count("*").alias("copies"), F.min(F.struct("id", "crc", "lo", "size")).alias("one")))
@@ -164,6 +170,7 @@ def repeated(docs: DataFrame, window: int = WINDOW, kgram: int = KGRAM, crowd: i
         for batch in batches:
             rows = []
             for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                text = written(text)
                 rows += [(s["h"], s["left"], s["digest"], s["kinds"], text[s["lo"] : s["lo"] + s["size"]]) for s in wanted]
             columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], [*SPAN, "kinds", "body"])
@@ -233,19 +240,11 @@ def _word_bounds(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
-def _coded(texts: DataFrame) -> DataFrame:
-    """``texts(id, crc, text)`` with each word written as ``CODE`` bytes of its hash, and nothing else."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            codes = []
-            for text in batch.column(2).to_pylist():
-                data = np.frombuffer(text, np.uint8)
-                start, end = _word_bounds(data)
-                codes.append((Rolling(data).of(start, end - start) >> np.uint64(32)).astype("<u4").tobytes() if len(start) else b"")
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(codes, pa.binary())], ["id", "crc", "text"])
-
-    return texts.mapInArrow(released(each), "id long, crc long, text binary")
+def _coded(text: bytes) -> bytes:
+    """``text`` with each word written as ``CODE`` bytes of its hash, and nothing else."""
+    data = np.frombuffer(text, np.uint8)
+    start, end = _word_bounds(data)
+    return (Rolling(data).of(start, end - start) >> np.uint64(32)).astype("<u4").tobytes() if len(start) else b""
 
 
 def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = PASSAGE, crowd: int = CROWD) -> DataFrame:
@@ -254,7 +253,7 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Texts of fewer words lose nothing; white space around a removed passage stays.
     """
-    gone = repeated(_coded(_keyed(docs, id_col, text_col)), CODE * words, crowd=crowd)
+    gone = repeated(_keyed(docs, id_col, text_col), CODE * words, crowd=crowd, written=_coded)
 
     def bounds(text: bytes, gone: list[tuple[int, int]]) -> list[tuple[int, int]]:
         start, end = _word_bounds(np.frombuffer(text, np.uint8))
