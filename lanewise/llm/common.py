@@ -47,11 +47,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Like ``cut``, as a compressed table: for wide or many rows."""
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """Like ``cut``, as a compressed table, and where it is."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.parquet(path), path
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """Like ``cut``, as a compressed table: for wide or many rows."""
+    return stored(df)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a ``stored`` table that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 Batches = Iterator[pa.RecordBatch]
