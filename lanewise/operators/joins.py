@@ -52,20 +52,6 @@ def attach(rows: DataFrame, extra: DataFrame, on: Sequence[str], name: str) -> D
     return rows.join(packed, list(on), "left")
 
 
-def longest_contained(rows: DataFrame, text: str, targets: DataFrame, target: str, key: Sequence[str]) -> DataFrame:
-    """Left join to the longest target that the text contains (ties: alphabetical).
-
-    A containment join has no equality to hash on. Targets are therefore held by all tasks, which
-    is allowed because a target list has at most ``SMALL_ROWS`` rows; a longer one is refused.
-    """
-    if targets.limit(SMALL_ROWS + 1).count() > SMALL_ROWS:
-        raise ValueError(f"more than {SMALL_ROWS} targets")
-    found = rows.join(F.broadcast(targets.select(F.col(target).alias("_t"))), F.col(text).contains(F.col("_t"))).groupBy(*key).agg(
-        F.min_by("_t", F.struct(-F.length("_t"), "_t")).alias(f"matched_{target}")
-    )
-    return rows.join(found, list(key), "left")
-
-
 def ambiguous(rows: DataFrame, item: str, identity: str) -> DataFrame:
     """Items that stand for more than one identity, with their number."""
     return rows.groupBy(item).agg(F.count_distinct(identity).alias("n_identities")).where("n_identities > 1")

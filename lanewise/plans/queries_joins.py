@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lanewise.functions import urls
-from lanewise.operators import joins
+from lanewise.operators import joins, matching
 from lanewise.plans.registry import query, table
 
 HOST_SQL = r"regexp_extract(lower(url), '^https?://(?:[^/@?#]*@)?(\[[^\]]+\]|[^/:?#]+)', 1)"
@@ -58,7 +58,7 @@ WITH t(target) AS (VALUES ('ring'), ('small ring'), ('widget'), ('red'), ('bolt'
 SELECT p_partkey, p_name, (SELECT arg_min(target, (-length(target), target)) FROM t WHERE contains(p_name, target)) AS matched_target FROM part""")
 def _(spark, d):
     targets = spark.createDataFrame([("ring",), ("small ring",), ("widget",), ("red",), ("bolt",)], "target string")
-    return joins.longest_contained(table(spark, d, "part").select("p_partkey", "p_name"), "p_name", targets, "target", ["p_partkey"])
+    return matching.longest_contained(table(spark, d, "part").select("p_partkey", "p_name"), "p_name", targets, "target")
 
 
 @query("ambiguous_identity", "SELECT l_partkey, count(DISTINCT l_suppkey) AS n_identities FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) > 1")
