@@ -15,6 +15,7 @@ import re
 import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +24,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lanewise.llm.common import Batches, beside, discard, released, saved, stored, table
-from lanewise.llm.packing import CHUNK_CHARS, KEPT_WORDS, WordIds, _complete, _use
+from lanewise.llm.packing import CHUNK_CHARS, WordIds, _complete, _use
 
 CAPACITY = 1024
 STEPS = 300
+CHUNKS = 400_000  # remembered in a generation, of which there are two
 PLACED = "row long, at long, length long, sequence_id long, offset long, whole boolean"
 
 
@@ -40,45 +42,73 @@ class ChunkIds(WordIds):
     """Ids of texts by a byte-level tokenizer, chunk by chunk, with remembered chunks.
 
     The tokenizer's splitter never goes on over a space after a sign that is not white space, and
-    starts anew there; so a text is cut before its spaces and each chunk encoded alone. Where a
-    space stands inside white space, or a text may hold special tokens, it is encoded whole. A
-    chunk of Latin letters is one word to the splitter and goes straight to the model in its byte
-    alphabet; one sign of ``ENDS`` after it is a token of its own.
+    starts anew there; nor does it join a line feed to the next sign. So a text with no white space
+    but single spaces and one or two line feeds is cut before each of them; one with other white
+    space is cut before spaces only, and where that is not safe, or where it may hold special
+    tokens, it is encoded whole. A chunk of Latin letters is one word to the splitter and goes
+    straight to the model in its byte alphabet; one sign of ``ENDS`` after it is a token of its own.
     """
 
-    TANGLED = re.compile(r"\s (?:\s|\Z)")
+    UNEVEN = re.compile(r"[^\S \n]| \s|\n\n\n|\n\n |\n[\n ]\Z")
+    TANGLED = re.compile(r"\s (?:\s|\Z)| \n")
+
+    def __init__(self, path: str) -> None:
+        super().__init__(path)
+        self.feed = self._encode(["\n"])[0]
 
     def learn(self, words: set[str]) -> None:
-        if len(self.new) + len(words) > KEPT_WORDS:
+        """Chunks that start with a line feed are as they stand; the others follow a space."""
+        if len(self.new) + len(words) > CHUNKS:
             self.old, self.new, self.bases = self.new, {}, {}
-        new, old, bases, four, tokenize = self.new, self.old, self.bases, self.four, self.model.tokenize
+        new, old, bases, four, tokenize, ends = self.new, self.old, self.bases, self.four, self.model.tokenize, self.ends
         space = self.alphabet[32]
         hard = []
-        for w in [w for w in words if w not in new]:
-            if (ids := old.get(w)) is None:
-                end = w[-1] if len(w) > 1 and w[-1] in self.ends else ""
-                base = w[:-1] if end else w
-                if (ids := bases.get(base)) is None:
-                    if not base.isalpha() or max(base) >= self.LATIN:
+        for w in words.difference(new):
+            ids = old.get(w)
+            if ids is None:
+                end = w[-1:]
+                if end in ends:
+                    base, end = w[:-1], ends[end]
+                else:
+                    base, end = w, b""
+                ids = bases.get(base)
+                if ids is None:
+                    line = base[:1] == "\n"
+                    letters = base[1:] if line else base
+                    if not letters.isalpha() or (not letters.isascii() and max(letters) >= self.LATIN):
                         hard.append(w)
                         continue
-                    shown = base if base.isascii() else base.encode("utf-8").decode("latin-1").translate(self.alphabet)
-                    ids = bases[base] = b"".join([four[t.id] for t in tokenize(space + shown)])
+                    shown = letters if letters.isascii() else letters.encode("utf-8").decode("latin-1").translate(self.alphabet)
+                    ids = b"".join([four[t.id] for t in tokenize(shown if line else space + shown)])
+                    bases[base] = ids = self.feed + ids if line else ids
                 if end:
-                    ids += self.ends[end]
+                    ids += end
             new[w] = ids
         for at in range(0, len(hard), 20_000):
             some = hard[at : at + 20_000]
-            new.update(zip(some, self._encode([" " + w for w in some]), strict=True))
+            new.update(zip(some, self._encode([w if w[:1] == "\n" else " " + w for w in some]), strict=True))
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        whole = [i for i, t in enumerate(texts) if "<|" in t or self.TANGLED.search(t)]
-        out = dict(zip(whole, self._encode([texts[i] for i in whole]), strict=True))
-        chunks = {i: t.split(" ") for i, t in enumerate(texts) if i not in out}
-        self.learn({w for words in chunks.values() for w in words[1:]})
-        get = self.new.__getitem__
-        for (i, words), first in zip(chunks.items(), self._encode([words[0] for words in chunks.values()]), strict=True):
-            out[i] = first + b"".join(map(get, words[1:]))
+        whole, first, chunks = [], [], {}
+        for i, t in enumerate(texts):
+            if "<|" in t:
+                whole.append(i)
+            elif not self.UNEVEN.search(t):
+                chunks[i] = ("\n" + t).replace("\n", " \n").split(" ")
+            elif not self.TANGLED.search(t):
+                first.append(i)
+                chunks[i] = t.split(" ")
+            else:
+                whole.append(i)
+        heads = dict(zip(first, self._encode([chunks[i][0] for i in first]), strict=True))
+        for words in chunks.values():
+            del words[0]
+        self.learn(set(chain.from_iterable(chunks.values())))
+        get, out = self.new.__getitem__, dict(zip(whole, self._encode([texts[i] for i in whole]), strict=True))
+        skip = len(self.feed)
+        for i, words in chunks.items():
+            ids = b"".join(map(get, words))
+            out[i] = heads[i] + ids if i in heads else ids[skip:]
         return [out[i] for i in range(len(texts))]
 
 

@@ -59,7 +59,7 @@ def test_chunk_ids():
     plain, chunks = Tokenizer.from_file(path), windows.ChunkIds(path)
     rng = random.Random(5)
     parts = ["a", "word.", "Éa", "ñandú!", " ", "  ", "\n", "\t", " ", "　", "'s", "don't", "12", "x1", "漢字", "🙂", "<|endoftext|>", "ı", "ß,", "...", "É"]
-    texts = ["", " ", "  ", " a", "a ", "a  ", "\n a", "a \n b", "a\n \nb", "a   b", "\x1c \x1c"] + ["".join(rng.choice(parts) + rng.choice(["", " ", " "]) for _ in range(rng.randint(1, 12))) for _ in range(3000)]
+    texts = ["", " ", "  ", " a", "a ", "a  ", "\n a", "a \n b", "a\n \nb", "a   b", "\x1c \x1c"] + ["".join(rng.choice(parts) + rng.choice(["", " ", " ", "\n", "\n\n"]) for _ in range(rng.randint(1, 12))) for _ in range(6000)]
     for t, ids in zip(texts, chunks.ids(texts), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
 
