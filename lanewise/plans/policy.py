@@ -30,6 +30,13 @@ class Policy:
     labels_kept: int = 20
     greedy_rows: int = 10_000
     daily_target: int = 500
+    daily_amount: int = 1536 * 1024 * 1024
+    daily_seconds: int = 3600
+    daily_candidates: int = 10
+    discovery_amount: int = 256 * 1024 * 1024
+    discovery_seconds: int = 600
+    leased_s: int = 1800
+    snapshots_kept: int = 5
 
 
 DEFAULT = Policy()

@@ -1,4 +1,4 @@
-"""Streaming forms: keyed health state, first-wins evidence, exactly-once batches."""
+"""Streaming forms: keyed health state by run number, first-wins evidence, batches skipped by receipt."""
 
 from __future__ import annotations
 
@@ -16,14 +16,22 @@ HEALTH_OUT = "name string, run long, status string, streak int, effective string
 HEALTH_STATE = "url string, streak int, began double, dead boolean, last long"
 
 
-def health_stream(observations: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
+IDLE_MS = 30 * 24 * 3600 * 1000
+
+
+def health_stream(observations: DataFrame, policy: Policy = DEFAULT, idle_ms: int = IDLE_MS) -> DataFrame:
     """The DEAD state machine over a stream ``(name, run, at double, url, status, circuit boolean)``.
 
     Each micro-batch's rows of a name are put in run order; a row not after the last one seen is
-    late and ignored (first wins). The state is one small row a name.
+    late and ignored (first wins). The state is one small row a name, which leaves once nothing has
+    come for it for ``idle_ms`` of processing time. ``keyed.stream`` with ``rules.health`` is the
+    form by event time.
     """
 
     def step(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         url, streak, began, dead, last = state.get if state.exists else (None, 0, None, False, -(1 << 62))
         out = []
         rows = pd.concat(list(frames)).sort_values("run")
@@ -41,9 +49,10 @@ def health_stream(observations: DataFrame, policy: Policy = DEFAULT) -> DataFram
             effective = r.status if r.status != "UNKNOWN" else "DEAD" if dead else "UNKNOWN"
             out.append((key[0], int(r.run), r.status, streak, effective))
         state.update((url, streak, began, dead, last))
+        state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["name", "run", "status", "streak", "effective"])
 
-    return observations.groupBy("name").applyInPandasWithState(step, HEALTH_OUT, HEALTH_STATE, "append", GroupStateTimeout.NoTimeout)
+    return observations.groupBy("name").applyInPandasWithState(step, HEALTH_OUT, HEALTH_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def first_evidence(events: DataFrame, key: str, at: str, delay: str) -> DataFrame:
@@ -57,8 +66,8 @@ def slot_counts(events: DataFrame, at: str, width: str, delay: str) -> DataFrame
 
 
 def once(write: Callable[[DataFrame, int], None], receipts: str) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that runs ``write`` for each batch id once: a replayed batch whose
-    receipt is there is skipped."""
+    """A ``foreachBatch`` function that skips a batch id whose receipt is there. A stop between the
+    write and the receipt repeats the write; ``receipts.Receipts.sink`` does not."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
