@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lanewise.llm.common import Batches, discard, released, stored, table
+from lanewise.llm.common import Batches, beside, cut, discard, released, stored, table
 
 LEAST_DOCS = 3
 UNIT = 1_000_000_000
@@ -153,9 +153,9 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     kept, path = stored(seen.where(F.col("all_docs") >= least).select("lang", "source", "term", "n", F.col("first").cast("long").alias("leads")))
     sums = groups.join(kept.groupBy("lang", "source").agg(F.sum("n").alias("n"), F.sum("leads").alias("leads")), ["lang", "source"], "left").fillna(0, ["n", "leads"])
     facts = sums.groupBy("lang").agg(F.sum("leads").alias("v"), F.count("*").alias("groups"))
-    facts = facts.select("lang", "v", F.greatest(F.lit(1), F.ceil(F.col("v") * F.col("groups") / CELLS)).cast("long").alias("blocks"))
-    heads = sums.join(facts, "lang").select("lang", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "source", F.lit(None).cast("string").alias("term"), "n", "v")
-    body = kept.join(facts, "lang").select("lang", F.pmod(F.xxhash64("term"), F.col("blocks")).alias("block"), "source", "term", "n", "v")
+    facts = cut(facts.select("lang", "v", F.greatest(F.lit(1), F.ceil(F.col("v") * F.col("groups") / CELLS)).cast("long").alias("blocks")))
+    heads = beside(sums, facts, "lang").select("lang", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "source", F.lit(None).cast("string").alias("term"), "n", "v")
+    body = beside(kept, facts, "lang").select("lang", F.pmod(F.xxhash64("term"), F.col("blocks")).alias("block"), "source", "term", "n", "v")
     partial, parts_path = stored(
         body.unionByName(heads).groupBy("lang", "block").applyInArrow(_block(top), "lang string, source string, part string, item string, value long")
         .groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
