@@ -1,5 +1,7 @@
 """Near copies by their shingles: every pair of texts whose Jaccard likeness is at least four fifths.
 
+First come the candidates of SimHash: texts with one fingerprint, and those that the tiled comparison
+links, checked exactly. Their groups are settled; what fingerprints miss is found by shingles.
 Texts are sets of hashed runs of ``SHINGLE`` words. Under any one order of all shingles, two sets that
 alike share one of the first ``n - ceil(4 n / 5) + 1`` shingles of each (prefix filter), so only texts
 that meet there are compared, and those comparisons are exact: no pair is lost. The order puts
@@ -21,6 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lanewise.llm import simhash
 from lanewise.llm.common import beside, components, cut, released, saved
 
 SHINGLE = 5
@@ -123,9 +126,26 @@ def _small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def _tiled(texts: DataFrame) -> DataFrame:
+    """Pairs of keys that SimHash's tiles link, each fingerprint's texts to its smallest key."""
+    fps = cut(simhash.fingerprints(texts, "key", "text"))
+    points = cut(fps.groupBy("fp").agg(F.min("key").alias("id")))
+    equal = fps.join(points, "fp").where("id <> key").select(F.col("id").alias("a"), F.col("key").alias("b"))
+    return equal.unionByName(simhash.links(points).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose ends are not in one component yet."""
+    small = _small(roots)
+    for end in ("a", "b"):
+        pairs = pairs.join(small.select(F.col("node").alias(end), F.col("root").alias(f"_{end}")), end, "left")
+    return pairs.where(~F.coalesce(F.col("_a") == F.col("_b"), F.lit(False))).select("a", "b")
+
+
 def linked(texts: DataFrame) -> DataFrame:
     """Components ``(node, root)`` of ``texts(key long, text)`` over all pairs of near copies; texts
     without one are not returned."""
+    tiled = _alike(_tiled(texts), texts)
     at = Window.partitionBy("h")
     size = F.log(F.col("n").cast("double")) / math.log(1.25)
     rows = _rows(texts, _common(texts)).withColumns({"low": F.floor(size).cast("int"), "high": F.floor(size + 0.5).cast("int")})
@@ -134,7 +154,8 @@ def linked(texts: DataFrame) -> DataFrame:
     met = met.withColumns({"p": least.over(Window.partitionBy("h", "low"))["key"], "q": least.over(Window.partitionBy("h", "high"))["key"]})
     met = saved(met.select("h", "key", "n", "i", "p", "q"))
     near = met.select(F.explode(F.array_distinct(F.array("p", "q"))).alias("pivot"), "key").where("pivot <> key")
-    first = _alike(near.select(F.least("pivot", "key").alias("a"), F.greatest("pivot", "key").alias("b")).distinct(), texts)
+    pivots = near.select(F.least("pivot", "key").alias("a"), F.greatest("pivot", "key").alias("b")).distinct()
+    first = tiled.unionByName(_alike(_apart(pivots, components(tiled)), texts))
     roots = components(first)
     placed = met.join(_small(roots), met["key"] == F.col("node"), "left").select("h", "key", "n", "i", F.coalesce("root", "key").alias("root"))
     still = placed.withColumns({"low": F.min("root").over(at), "high": F.max("root").over(at)}).where("low < high").select("h", "key", "n", "i", "root")

@@ -98,11 +98,11 @@ def runs(docs: DataFrame, window: int, kgram: int, written: Callable[[bytes], by
 
 
 def _pieces(flags: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Removed stretches (start, end) of flagged window starts, touching ones joined."""
+    """Removed stretches (start, end) of flagged window starts, overlapping ones joined."""
     at = np.flatnonzero(flags)
     if not len(at):
         return at, at
-    gap = np.flatnonzero(np.diff(at) > window)
+    gap = np.flatnonzero(np.diff(at) >= window)
     return at[np.concatenate([[0], gap + 1])], at[np.concatenate([gap, [len(at) - 1]])] + window
 
 
@@ -251,7 +251,8 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Like ``remove``, for every run of ``words`` words (between ASCII white space, told apart by 32 bits
     of hash each) that also starts anywhere else; bytes from its first word to its last are removed.
 
-    Texts of fewer words lose nothing; white space around a removed passage stays.
+    Texts of fewer words lose nothing; white space around a removed passage stays, also between two
+    that follow each other.
     """
     gone = repeated(_keyed(docs, id_col, text_col), CODE * words, crowd=crowd, written=_coded)
 
@@ -263,10 +264,10 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _joined(stretches: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The stretches in order, with overlapping and touching ones joined."""
+    """The stretches in order, with overlapping ones joined; those that only touch stay apart."""
     out: list[tuple[int, int]] = []
     for a, b in sorted(stretches):
-        if out and a <= out[-1][1]:
+        if out and a < out[-1][1]:
             out[-1] = out[-1][0], max(b, out[-1][1])
         else:
             out.append((a, b))

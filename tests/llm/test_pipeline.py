@@ -26,6 +26,8 @@ def sample():
     for i in range(30):
         text = " ".join(word() for _ in range(rng.randint(5, 150)))
         rows.append((10 + i, text if i % 3 else f"{text} {passage} {word()}é"))
+    other = " ".join(word() for _ in range(49))
+    rows += [(50, f"{word()} {other}\n{passage} tail"), (51, f"{passage}\t\t{other}"), (52, f"head {other} x"), (53, f"{passage} {other}")]  # two that touch; two left without a word
     rows += [(100, rows[8][1]), (101, rows[9][1] + " x"), (102, rows[9][1].upper()), (103, "a " + rows[10][1] + " b c")]
     return [(i, t, "en" if i % 2 else "de", "s", len(t or "")) for i, t in rows]
 
@@ -55,7 +57,9 @@ def brute(rows):
             if seen[tuple(t[a:b] for a, b in spots[k : k + 49])] > 1:
                 a, b = spots[k][0], spots[k + 48][1]
                 gone[a:b] = b"\1" * (b - a)
-        kept.append((i, "".join(c for c, g in zip(t, gone, strict=True) if not g)))
+        left = "".join(c for c, g in zip(t, gone, strict=True) if not g)
+        if left == t or left.split():
+            kept.append((i, left))
     return kept
 
 
