@@ -3,19 +3,26 @@
 from __future__ import annotations
 
 import ipaddress
-from urllib.parse import parse_qsl, unquote, urlencode, urlsplit, urlunsplit
+from urllib.parse import parse_qsl, urlsplit
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType
+from pyspark.sql.types import BooleanType
 
 HOST = r"^https?://(?:[^/@?#]*@)?(\[[^\]]+\]|[^/:?#]+)"
 PORT = r"^https?://(?:[^/@?#]*@)?(?:\[[^\]]+\]|[^/:?#]+):([0-9]+)(?:[/?#]|$)"
 TOKEN_HINT = r"(?i)[?&](token|auth|auth_key|sign|signature|expires?|wssecret|wstime|txsecret|txtime)="
 MAX_URL = 2048
-# fixed values: query keys that change from day to day and do not name a route
-VOLATILE = ("token", "auth", "auth_key", "sign", "signature", "expires", "expire", "t", "ts", "timestamp", "utm_source", "ref", "page")
+# fixed values: query keys that change from day to day and do not name a route, alone or at one end of a key
+VOLATILE = (
+    "token", "access_token", "sign", "signature", "expires", "expire", "expiry", "exp",
+    "wssecret", "wstime", "timestamp", "auth", "authkey", "auth_key", "txsecret", "txtime",
+)
+VOLATILE_START, VOLATILE_END = "token_", "_token"
+# fixed values: query keys that only change how a route is shown, and file names of one stream's variants
+DISPLAY = ("playlive", "authid", "blog.ntnas.top", "checkedby:iptvcat.org")
+VARIANT_FILE = r"/(?:master|playlist|index|chunklist[^/]*)\.m3u8$"
 
 
 def host(url: Column) -> Column:
@@ -64,11 +71,68 @@ def route_key(url: Column) -> Column:
     return F.when(host(url) == "", F.lit("")).otherwise(named)
 
 
-def without_volatile(url: Column, keys: tuple[str, ...] = VOLATILE) -> Column:
-    """Lower-case host, volatile query keys dropped, the others sorted, no fragment."""
-    pairs = F.filter(F.split(query(url), "&"), lambda p: (p != "") & ~F.lower(F.split(p, "=").getItem(0)).isin(*keys))
-    kept = F.array_join(F.array_sort(pairs), "&")
-    return F.concat(F.lower(F.regexp_extract(url, r"^(https?://[^/?#]*)", 1)), path(url), F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(""))
+def _decoded(raw: Column) -> Column:
+    """A query part read: ``+`` is a space, a broken escape stays."""
+    return F.coalesce(F.try_url_decode(raw), F.replace(raw, F.lit("+"), F.lit(" ")))
+
+
+def _encoded(said: Column) -> Column:
+    return F.replace(F.replace(F.url_encode(said), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
+def query_pairs(url: Column) -> Column:
+    """``(k, v)`` of the query in order, decoded; a part without ``=`` has an empty value."""
+
+    def pair(part: Column) -> Column:
+        key = F.substring_index(part, "=", 1)
+        return F.struct(_decoded(key).alias("k"), _decoded(F.substring(part, F.length(key) + 2, F.length(part))).alias("v"))
+
+    return F.transform(F.filter(F.split(query(url), "&"), lambda p: p != ""), pair)
+
+
+def _asked(pairs: Column) -> Column:
+    said = F.array_join(F.transform(pairs, lambda p: F.concat(_encoded(p["k"]), F.lit("="), _encoded(p["v"]))), "&")
+    return F.when(said != "", F.concat(F.lit("?"), said)).otherwise("")
+
+
+def _scheme(url: Column) -> Column:
+    return F.lower(F.regexp_extract(url, "(?i)^(https?)://", 1))
+
+
+def without_volatile(url: Column) -> Column:
+    """Identity of a route by its query too: scheme, host, port if named, decoded path with slashes
+    collapsed, and the query without volatile keys, sorted by lower-case key and value; no fragment.
+
+    Anything but http(s) stays as it is.
+    """
+    url = F.trim(url)
+    raw = F.regexp_extract(url, r"(?i)^https?://[^/?#]*([^?#]*)", 1)
+    decoded = F.coalesce(F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))), raw)
+    place = F.regexp_replace(F.when(decoded == "", F.lit("/")).otherwise(decoded), "/+", "/")
+
+    def lasting(p: Column) -> Column:
+        key = F.lower(p["k"])
+        return ~(key.isin(*VOLATILE) | F.startswith(key, F.lit(VOLATILE_START)) | F.endswith(key, F.lit(VOLATILE_END)))
+
+    ranked = F.transform(F.filter(query_pairs(url), lasting), lambda p, i: F.struct(F.lower(p["k"]).alias("low"), p["v"].alias("v"), i.alias("i"), p["k"].alias("k")))
+    named = F.concat(_scheme(url), F.lit("://"), host(url), F.coalesce(F.concat(F.lit(":"), port(F.lower(url)).cast("string")), F.lit("")), place, _asked(F.array_sort(ranked)))
+    return F.when(_scheme(url) == "", url).otherwise(named)
+
+
+def equivalent(url: Column, listed: Column | bool = True) -> Column:
+    """Key that variants of one stream share: default port, variant file and display keys do not count.
+
+    Scheme, path and all other query pairs do. Only routes of ``listed`` stations have such variants;
+    for the others, and for anything but http(s), the key is the URL itself.
+    """
+    name, said = host(url), port(F.lower(url))
+    shown = F.when(name.contains(":"), F.concat(F.lit("["), name, F.lit("]"))).otherwise(name)
+    usual = F.when(_scheme(url) == "https", 443).otherwise(80)
+    ending = F.when(said.isNull() | (said == usual), F.lit("")).otherwise(F.concat(F.lit(":"), said.cast("string")))
+    place = F.regexp_replace(F.regexp_extract(url, r"(?i)^https?://[^/?#]*([^?#]*)", 1), VARIANT_FILE, "/<hls>")
+    pairs = F.array_sort(F.filter(query_pairs(url), lambda p: ~p["k"].isin(*DISPLAY)))
+    key = F.concat(_scheme(url), F.lit("://"), shown, ending, place, _asked(pairs))
+    return F.when((listed if isinstance(listed, Column) else F.lit(listed)) & (_scheme(url) != ""), key).otherwise(url)
 
 
 def numbers_conflict(label: Column, url: Column) -> Column:
@@ -121,25 +185,3 @@ def safe(urls: pd.Series) -> pd.Series:
             return len(labels) > 1 and all(0 < len(x) <= 63 and x.replace("-", "a").isalnum() and x[0] != "-" and x[-1] != "-" for x in labels) and not name.endswith((".local", ".internal"))
 
     return urls.map(ok)
-
-
-@F.pandas_udf(StringType())
-def equivalent(urls: pd.Series) -> pd.Series:
-    """Route equivalence: default port, chunk-list names and display parameters do not matter."""
-
-    def key(url: str | None) -> str | None:
-        if url is None:
-            return None
-        try:
-            parts = urlsplit(url.strip())
-            name, port = (parts.hostname or "").lower(), parts.port
-        except ValueError:
-            return url
-        netloc = name if port in (None, 80 if parts.scheme == "http" else 443) else f"{name}:{port}"
-        folder, _, leaf = unquote(parts.path).rpartition("/")
-        if leaf.lower().endswith(".m3u8") and leaf.lower().startswith(("playlist", "chunklist", "chunks")):
-            leaf = "*.m3u8"
-        kept = sorted((k, v) for k, v in parse_qsl(parts.query, keep_blank_values=True) if k.lower() not in {"name", "title", "label", "logo"})
-        return urlunsplit(("", netloc, f"{folder}/{leaf}", urlencode(kept), ""))
-
-    return urls.map(key)

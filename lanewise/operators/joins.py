@@ -28,6 +28,20 @@ def veto_hashed(rows: DataFrame, url: str, tombstones: DataFrame, digest: str) -
     return rows.withColumn("_digest", F.sha2(F.trim(url), 256)).join(gone, "_digest", "left_anti").drop("_digest")
 
 
+def equivalent_reasons(rows: DataFrame, url: str, listed: Column, order: Sequence[str], history: DataFrame, history_url: str, history_listed: Column) -> DataFrame:
+    """Add ``reason``: ``history`` where a listed row's route is, but for its variant, one of the listed
+    history's; ``batch`` where an earlier row in ``order``, itself not excluded, has it; else null.
+
+    ``order`` names columns that tell rows apart. Rows that are not listed have no reason.
+    """
+    known = history.where(history_listed).select(urls.equivalent(F.col(history_url)).alias("_route")).where("_route IS NOT NULL").distinct().withColumn("_known", F.lit(True))
+    keyed = rows.select(F.struct("*").alias("_in"), F.when(listed, urls.equivalent(F.col(url))).alias("_route"), F.struct(*order).alias("_order"))
+    first = keyed.where("_route IS NOT NULL").groupBy("_route").agg(F.min("_order").alias("_first"))
+    both = keyed.join(known, "_route", "left").join(first, "_route", "left")
+    reason = F.when(F.col("_known"), "history").when(F.col("_order") > F.col("_first"), "batch")
+    return both.select("_in.*", reason.alias("reason"))
+
+
 def bad_hosts(bad: DataFrame, url: str, least: int = 2) -> DataFrame:
     """Hosts with at least ``least`` different bad URLs."""
     return bad.select(urls.host(F.col(url)).alias("host"), F.col(url).alias("_u")).where("host <> ''").groupBy("host").agg(F.count_distinct("_u").alias("n_urls")).where(F.col("n_urls") >= least)

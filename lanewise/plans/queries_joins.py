@@ -172,6 +172,32 @@ def _(spark, d):
     return joined.select("l_orderkey", "l_linenumber", F.coalesce("to_status", "l_linestatus").alias("new_status"))
 
 
-@query("route_equivalence")
+# the same stream under several addresses; VARIANT_SQL makes them, ROUTE_SQL tells them
+VARIANT_SQL = """lower(regexp_extract(url, '^(https?://)', 1)) || right(regexp_extract(url, '^https?://([^/?#:]*)', 1), 4) || CASE page_id % 3 WHEN 0 THEN CASE WHEN url LIKE 'https%' THEN ':443' ELSE ':80' END WHEN 1 THEN ':8080' ELSE '' END
+ || '/s' || (page_id % 3) || CASE page_id % 4 WHEN 0 THEN '/playlist.m3u8' WHEN 1 THEN '/chunklist_b1.m3u8' WHEN 2 THEN '/index.m3u8' ELSE '/live.m3u8' END
+ || CASE page_id % 5 WHEN 0 THEN '?playlive=1&id=7' WHEN 1 THEN '?id=7&authid=2' WHEN 2 THEN '?id=8&checkedby:iptvcat.org' WHEN 3 THEN '' ELSE '?playlive=0' END"""
+ROUTE_SQL = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(u, '^(http://[^/]*):80/', '\1/'), '^(https://[^/]*):443/', '\1/'), '/(playlist|chunklist_b1|index)\.m3u8', '/<hls>'),
+ '\?playlive=.&id=7$|\?id=7&authid=2$', '?id=7')"""
+ROUTE_SQL = rf"regexp_replace(regexp_replace({ROUTE_SQL}, '\?id=8&checkedby:iptvcat.org$', '?id=8'), '\?playlive=0$', '')"
+
+
+@query("route_equivalence", f"SELECT page_id, CASE WHEN page_id % 7 = 0 THEN u ELSE {ROUTE_SQL} END AS route FROM (SELECT page_id, {VARIANT_SQL} AS u FROM pages)")
+def _(spark, d):
+    pages = table(spark, d, "pages").select("page_id", F.expr(VARIANT_SQL).alias("u"))
+    return pages.select("page_id", urls.equivalent(F.col("u"), F.col("page_id") % 7 != 0).alias("route"))
+
+
+@query("safe_urls")
+def _(spark, d):
+    return table(spark, d, "pages").select("page_id", urls.safe("url").alias("safe"))
+
+
+@query("equivalent_anti_join", f"""
+WITH r AS (SELECT page_id, page_id % 7 <> 0 AS listed, {ROUTE_SQL} AS route FROM (SELECT page_id, {VARIANT_SQL} AS u FROM pages)),
+h AS (SELECT route FROM r WHERE listed AND page_id % 9 = 4),
+n AS (SELECT *, row_number() OVER (PARTITION BY listed, route ORDER BY page_id) AS k FROM r WHERE page_id % 9 <> 4)
+SELECT page_id, CASE WHEN NOT listed THEN NULL WHEN route IN (SELECT route FROM h) THEN 'history' WHEN k > 1 THEN 'batch' END AS reason FROM n""")
 def _(spark, d):
-    return table(spark, d, "pages").select("page_id", urls.equivalent("url").alias("route"), urls.safe("url").alias("safe"))
+    pages = table(spark, d, "pages").select("page_id", F.expr(VARIANT_SQL).alias("u"))
+    listed = F.col("page_id") % 7 != 0
+    return joins.equivalent_reasons(pages.where("page_id % 9 <> 4"), "u", listed, ["page_id"], pages.where("page_id % 9 = 4"), "u", listed).select("page_id", "reason")

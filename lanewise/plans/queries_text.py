@@ -13,7 +13,8 @@ from lanewise.sources import playlists
 PATH_SQL = "regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1)"
 QUERY_SQL = r"regexp_extract(url, '^[^?#]*\?([^#]*)', 1)"
 PORT_SQL = r"^https?://(?:[^/@?#]*@)?(?:\[[^\]]+\]|[^/:?#]+):([0-9]+)(?:[/?#]|$)"
-VOLATILE_SQL = ", ".join(f"'{v}'" for v in urls.VOLATILE)
+DAILY = """concat(regexp_extract(url, '^([^#]*)', 1), CASE WHEN contains(url, '?') THEN '&' ELSE '?' END, CASE page_id % 6 WHEN 0 THEN 'wsTime=5&b=2' WHEN 1 THEN 'my_token=x&B=1'
+ WHEN 2 THEN 'exp=1&Page=3&a' WHEN 3 THEN 'token_a=1&z=' WHEN 4 THEN 't=1&Access_Token=q' ELSE 'txTime=2' END)"""
 
 
 @query("url_parts", f"SELECT page_id, {HOST_SQL} AS host, {PATH_SQL} AS path, {QUERY_SQL} AS query, CASE WHEN regexp_matches({HOST_SQL}, '^[0-9]{{1,3}}(\\.[0-9]{{1,3}}){{3}}$') THEN 4 WHEN contains({HOST_SQL}, ':') THEN 6 ELSE 0 END AS family FROM pages")
@@ -32,11 +33,13 @@ def _(spark, d):
 
 
 @query("drop_volatile_query", f"""
-WITH q AS (SELECT page_id, lower(regexp_extract(url, '^(https?://[^/?#]*)', 1)) || {PATH_SQL} AS base,
-  array_to_string(list_sort(list_filter(string_split({QUERY_SQL}, '&'), lambda p: p <> '' AND lower(string_split(p, '=')[1]) NOT IN ({VOLATILE_SQL}))), '&') AS kept FROM pages)
-SELECT page_id, base || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END AS clean FROM q""")
+WITH u AS (SELECT page_id, {DAILY} AS url FROM pages),
+p AS (SELECT page_id, lower(regexp_extract(url, '^(https?://[^/?#]*)', 1)) || regexp_replace({PATH_SQL}, '^$', '/') AS base, unnest(string_split({QUERY_SQL}, '&')) AS part FROM u),
+k AS (SELECT page_id, base, split_part(part, '=', 1) AS key, split_part(part, '=', 2) AS value FROM p),
+f AS (SELECT * FROM k WHERE NOT regexp_matches(lower(key), '^(wstime|exp|txtime|token|token_.*|.*_token)$'))
+SELECT b.page_id, b.base || coalesce('?' || (SELECT string_agg(key || '=' || value, '&' ORDER BY lower(key), value) FROM f WHERE f.page_id = b.page_id), '') AS clean FROM (SELECT DISTINCT page_id, base FROM p) b""")
 def _(spark, d):
-    return table(spark, d, "pages").select("page_id", urls.without_volatile(F.col("url")).alias("clean"))
+    return table(spark, d, "pages").select("page_id", urls.without_volatile(F.expr(DAILY)).alias("clean"))
 
 
 @query("url_predicates", rf"SELECT page_id, regexp_matches(url, '^https?://[^/?#]+') AS valid, regexp_matches(url, '(?i)[?&](token|auth|auth_key|sign|signature|expires?|wssecret|wstime|txsecret|txtime)=') AS token, len(regexp_extract_all(html, '(https?://[^\s#]+)')) AS n_urls FROM pages")

@@ -104,10 +104,29 @@ def test_functions(spark):
     assert one(spark, text.rate(lit("25/0"))) is None and one(spark, text.rate(lit("50/2"))) == 25.0
     assert one(spark, urls.host(lit("http://u:p@[2001:DB8::1]:80/x"))) == "2001:db8::1"
     assert one(spark, urls.safe(lit("http://10.0.0.1/a"))) is False and one(spark, urls.safe(lit("https://a.example.com/x"))) is True
-    assert one(spark, urls.equivalent(lit("http://h.test:80/a/chunklist_1.m3u8?name=x"))) == one(spark, urls.equivalent(lit("http://h.test/a/playlist.m3u8")))
     assert one(spark, urls.numbers_conflict(lit("CCTV-5"), lit("http://h.test/cctv6.m3u8"))) is True
     assert one(spark, history.appended(F.array(*[lit(1)] * 12), lit(0))) == [1] * 11 + [0]
     assert one(spark, history.trailing(F.array(lit(0), lit(1), lit(1)))) == 2
     assert one(spark, times.parse_utc(lit("2026-01-01T00:00:00"))) is None and one(spark, times.parse_utc(lit("2026-01-01T00:00:00Z"))) is not None
     a, b = one(spark, history.canonical_digest(lit('{"b": 1, "a": "é"}'))), one(spark, history.canonical_digest(lit('{"a":"é","b":1}')))
     assert a == b
+
+
+def test_route_identity(spark):
+    def same(key, *shown):
+        return len({one(spark, key(F.lit(u))) for u in shown}) == 1
+
+    keys = urls.without_volatile
+    assert one(spark, keys(F.lit(" HTTP://U@H.test:8080//a%20b//c?Sign=1&b=2&A=%7e*+x&a=0&token_x=1&my_Token=2&page=4#f"))) == "http://h.test:8080/a b/c?a=0&A=~%2A+x&b=2&page=4"
+    daily = ["access_token", "exp", "expiry", "wsSecret", "wsTime", "authkey", "txSecret", "txTime", "TIMESTAMP", "auth_key", "expires"]
+    assert same(keys, "http://h.test", "http://h.test/", *[f"http://h.test/?{k}=9" for k in daily])
+    for kept in ("page", "t", "ts", "utm_source", "ref", "tokens", "id"):  # these may name a route
+        assert not same(keys, f"http://h.test/a?{kept}=1", f"http://h.test/a?{kept}=2")
+    assert same(keys, "http://h.test/a?x=1&y=", "http://h.test/a?y&x=1") and not same(keys, "http://h.test/a", "https://h.test/a") and not same(keys, "http://h.test/A", "http://h.test/a")
+    assert one(spark, keys(F.lit("rtmp://h/x?token=1"))) == "rtmp://h/x?token=1" and one(spark, keys(F.lit("http://h.test/%zz?b=%zz"))) == "http://h.test/%zz?b=%25zz"
+    key = urls.equivalent
+    assert same(key, "http://media.example.com:80/a/playlist.m3u8?playlive=1&id=7", "http://media.example.com/a/chunklist0.m3u8?id=7", "http://MEDIA.example.com/a/master.m3u8?authid=x&id=7")
+    assert not same(key, "http://h.test/a/index.m3u8?id=7", "http://h.test/a/index.m3u8?id=8") and not same(key, "http://h.test/a/index.m3u8", "https://h.test/a/index.m3u8")
+    assert same(key, "https://f.test:443/hls/f.m3u8", "https://f.test/hls/f.m3u8?checkedby:iptvcat.org") and not same(key, "http://h.test/f.m3u8?name=a", "http://h.test/f.m3u8?name=b")
+    assert one(spark, key(F.lit("http://h.test:80/index.m3u8"), F.lit(False))) == "http://h.test:80/index.m3u8" and one(spark, key(F.lit("http://[::1]:81/index.m3u8"))) == "http://[::1]:81/<hls>"
+    assert one(spark, key(F.lit(None).cast("string"))) is None
