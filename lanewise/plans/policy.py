@@ -28,7 +28,6 @@ class Policy:
     checkpoint_reuse_hours: float = 6.0
     history_kept: int = 12
     labels_kept: int = 20
-    greedy_rows: int = 10_000
     daily_target: int = 500
     daily_amount: int = 1536 * 1024 * 1024
     daily_seconds: int = 3600

@@ -117,19 +117,39 @@ def _(spark, d):
     return ranking.top_k(table(spark, d, "lineitem"), ["l_partkey"], order, 1 << 30).select("l_partkey", "l_orderkey", "l_linenumber", "rank")
 
 
-@query("greedy_balanced")
+@query("greedy_balanced", """
+WITH RECURSIVE r AS (SELECT c_mktsegment, c_nationkey, c_custkey % 7 AS channel, c_acctbal > 8000 AS urgent, c_custkey FROM customer),
+w AS (SELECT DISTINCT c_mktsegment, 0 AS pos, NULL::INTEGER AS c_nationkey, NULL::BIGINT AS channel, NULL::BOOLEAN AS urgent, NULL::BIGINT AS c_custkey,
+    []::INTEGER[] AS hosts, []::BIGINT[] AS channels, []::BIGINT[] AS taken FROM r
+  UNION ALL
+  SELECT c_mktsegment, pos + 1, host, chan, urg, item, list_append(hosts, host), list_append(channels, chan), list_append(taken, item) FROM (
+    SELECT w.*, r.c_nationkey AS host, r.channel AS chan, r.urgent AS urg, r.c_custkey AS item, row_number() OVER (PARTITION BY w.c_mktsegment ORDER BY
+      len(list_filter(hosts, lambda x: x = r.c_nationkey)), NOT r.urgent, len(list_filter(channels, lambda x: x = r.channel)), r.c_custkey) AS k
+    FROM w JOIN r ON r.c_mktsegment = w.c_mktsegment AND NOT list_contains(taken, r.c_custkey) WHERE pos < 80) WHERE k = 1)
+SELECT c_mktsegment, c_nationkey, channel, urgent, c_custkey, pos FROM w WHERE pos > 0""")
 def _(spark, d):
     rows = table(spark, d, "customer").select("c_mktsegment", "c_nationkey", (F.col("c_custkey") % 7).alias("channel"), (F.col("c_acctbal") > 8000).alias("urgent"), "c_custkey")
     return greedy.balanced(rows, "c_mktsegment", "c_nationkey", "channel", "urgent", "c_custkey", 80)
 
 
-@query("greedy_rotating")
+@query("greedy_rotating", """
+WITH r AS (SELECT c_mktsegment, c_nationkey, CASE WHEN c_acctbal < 0 THEN 3 ELSE 0 END AS rejected, c_custkey FROM customer),
+t AS (SELECT *, row_number() OVER (PARTITION BY c_mktsegment, c_nationkey ORDER BY c_custkey) + least(max(rejected) OVER (PARTITION BY c_mktsegment, c_nationkey) // 2, 2) AS turn FROM r)
+SELECT c_mktsegment, c_nationkey, rejected, c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY turn, c_custkey) AS pos FROM t QUALIFY pos <= 80""")
 def _(spark, d):
     rows = table(spark, d, "customer").select("c_mktsegment", "c_nationkey", F.when(F.col("c_acctbal") < 0, 3).otherwise(0).alias("rejected"), "c_custkey")
     return greedy.rotating(rows, "c_mktsegment", "c_nationkey", "rejected", "c_custkey", 80)
 
 
-@query("greedy_penalised")
+@query("greedy_penalised", """
+WITH RECURSIVE r AS (SELECT c_mktsegment, c_nationkey, c_custkey % 11 AS host, c_acctbal, dense_rank() OVER (PARTITION BY c_mktsegment ORDER BY c_nationkey) AS n FROM customer),
+w AS (SELECT DISTINCT c_mktsegment, NULL::INTEGER AS c_nationkey, NULL::BIGINT AS host, NULL::DOUBLE AS c_acctbal, 0::BIGINT AS pos, []::BIGINT[] AS used FROM r
+  UNION ALL
+  SELECT c_mktsegment, nation, h, score, pos + 1, list_append(used, h) FROM (
+    SELECT w.c_mktsegment, w.pos, used, r.c_nationkey AS nation, r.host AS h, r.c_acctbal AS score, row_number() OVER (PARTITION BY w.c_mktsegment ORDER BY
+      r.c_acctbal - 280.0 * len(list_filter(used, lambda x: x = r.host)) DESC, r.c_acctbal DESC, r.host) AS k
+    FROM w JOIN r ON r.c_mktsegment = w.c_mktsegment AND r.n = w.pos + 1) WHERE k = 1)
+SELECT c_mktsegment, c_nationkey, host, c_acctbal, pos FROM w WHERE pos > 0""")
 def _(spark, d):
     rows = table(spark, d, "customer").select("c_mktsegment", "c_nationkey", (F.col("c_custkey") % 11).alias("host"), "c_acctbal")
     return greedy.penalised(rows, "c_mktsegment", "c_nationkey", "host", "c_acctbal", 280.0)
@@ -143,7 +163,33 @@ def _(spark, d):
     return greedy.capped_category(rows, "p_brand", "p_type", "ECONOMY", 5, "p_partkey", 40)
 
 
-@query("greedy_admission")
+@query("greedy_admission", """
+WITH RECURSIVE r AS (SELECT c_nationkey, c_custkey, abs(c_acctbal) AS cost, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n FROM customer),
+w AS (SELECT DISTINCT c_nationkey, NULL::BIGINT AS c_custkey, NULL::DOUBLE AS cost, 0::BIGINT AS n, 0::BIGINT AS pos, 50000.0::DOUBLE AS free, false AS fits FROM r
+  UNION ALL
+  SELECT r.c_nationkey, r.c_custkey, r.cost, r.n, w.pos + CASE WHEN r.cost <= w.free THEN 1 ELSE 0 END, w.free - CASE WHEN r.cost <= w.free THEN r.cost ELSE 0 END, r.cost <= w.free
+  FROM w JOIN r ON r.c_nationkey = w.c_nationkey AND r.n = w.n + 1)
+SELECT c_nationkey, c_custkey, cost, pos FROM w WHERE fits""")
 def _(spark, d):
     rows = table(spark, d, "customer").select("c_nationkey", "c_custkey", F.abs("c_acctbal").alias("cost"))
     return greedy.admitted(rows, "c_nationkey", "cost", "c_custkey", 50000.0)
+
+
+# checked routes of channels under a few hosts, some of them one stream's variants; the newest are today's
+POOL = """SELECT event_id AS item, concat('c', user_id % 30) AS channel, user_id % 3 > 0 AS listed, ts AS last,
+ concat('http://h', user_id % 9, '.test/', CASE WHEN event_id % 17 = 0 THEN 0 ELSE user_id END, '-', event_id % 21, CASE event_id % 4 WHEN 0 THEN '/index.m3u8' WHEN 1 THEN '/playlist.m3u8' WHEN 2 THEN '/live.m3u8?playlive=1' ELSE '/live.m3u8' END) AS url"""
+TODAY = "TIMESTAMP_NTZ '2024-01-30 00:00:00'"
+
+
+@query("historical_topup", f"""
+WITH a AS ({POOL} FROM events), k AS (SELECT *, replace(replace(replace(url, '/index.m3u8', '/<hls>'), '/playlist.m3u8', '/<hls>'), '?playlive=1', '') AS route FROM a),
+t AS (SELECT * FROM k WHERE last >= TIMESTAMP '2024-01-30'), p AS (SELECT * FROM k WHERE last < TIMESTAMP '2024-01-30'),
+o AS (SELECT * FROM p WHERE url NOT IN (SELECT url FROM p GROUP BY url HAVING count(DISTINCT channel) > 1) AND url NOT IN (SELECT url FROM t)
+  AND NOT (listed AND route IN (SELECT route FROM t WHERE listed))),
+s AS (SELECT *, row_number() OVER (PARTITION BY channel, CASE WHEN listed THEN route ELSE CAST(item AS VARCHAR) END ORDER BY last, item) AS n FROM o),
+h AS (SELECT *, row_number() OVER (PARTITION BY regexp_extract(url, '//([^/]*)', 1) ORDER BY last, item) AS turn FROM s WHERE n = 1)
+SELECT item, channel, url, row_number() OVER (ORDER BY turn, last, item) AS pos FROM h QUALIFY pos <= 60""")
+def _(spark, d):
+    pool = spark.sql(f"{POOL} FROM {{events}}", events=table(spark, d, "events"))
+    found = greedy.topped_up(pool.where(f"last < {TODAY}"), pool.where(f"last >= {TODAY}"), "channel", "url", "last", "item", "listed", 60)
+    return found.select("item", "channel", "url", "pos")
