@@ -1,6 +1,6 @@
 """Quality by naive Bayes support vectors.
 
-A text is the set of its n-grams' slots: words, word shapes (case, closing signs, whether the word
+A text is the set of its n-grams' slots: words, pairs of neighbouring words, word shapes (case, closing signs, whether the word
 repeats one of the last words) and pairs of shapes, each shape gram with the share of the text that it
 fills, in powers of two. Class log-count ratios come from every labelled row, summed by slot over
 ``SLOTS`` slots, so the table that meets on the driver has a fixed size. Indicators scaled by the
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from lanewise.llm.common import beside, fold, table
 
-SLOTS = 1 << 17
+SLOTS = 1 << 18
 FIT_ROWS = 6000
 SMOOTH = 1.0
 COST = 1.0
@@ -70,6 +70,7 @@ class Grams:
             _filled(shape >> 4, 4, 5),
             _slot(np.array([int(32 * len(distinct) / len(words)) * 16 + len(words).bit_length()]), 6),
             _slot(distinct, 7),
+            _slot(np.unique(hashes[:-1] * 31 + hashes[1:]), 8),
         ]
         return np.unique(np.concatenate([[0], *grams]))
 
@@ -106,7 +107,7 @@ def _present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     grams = Grams()
     for batch in batches:
         found = [grams.slots(t).astype(np.int32) for t in _texts(batch.column(0))]
-        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["label", "slots"])
+        yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(found, pa.list_(pa.int32()))], ["label", "h", "slots"])
 
 
 def descend(rows: list[np.ndarray], signs: np.ndarray, ratio: np.ndarray, costs: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
@@ -148,9 +149,9 @@ def learn(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     parts = []
     for label in (0, 1):
         part = min(1.0, FIT_ROWS / 2 / sizes[label])
-        sample = given.where((F.col("label") == label) & (F.col("h") <= F.lit(min(2**63 - 1, int((2 * part - 1) * 2**63))))).select("text", "label")
+        sample = given.where((F.col("label") == label) & (F.col("h") <= F.lit(min(2**63 - 1, int((2 * part - 1) * 2**63))))).select("text", "label", "h")
         parts.append(sample)
-    fit = parts[0].unionByName(parts[1]).mapInArrow(_present, "label int, slots array<int>").limit(2 * FIT_ROWS).toArrow()
+    fit = parts[0].unionByName(parts[1]).mapInArrow(_present, "label int, h long, slots array<int>").orderBy("h", "label", "slots").limit(2 * FIT_ROWS).toArrow()
     labels = fit.column("label").to_numpy()
     found = [np.array(s, np.int64) for s in fit.column("slots").to_pylist()]
     costs = np.where(labels == 1, COST, COST * max(1.0, (labels == 1).sum() / max(1, (labels == 0).sum())) ** 0.5) / 100

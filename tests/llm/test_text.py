@@ -283,6 +283,39 @@ def test_scorer_edges(spark, scorer, label):
     assert scorer.score(docs(spark, []), model).count() == 0
 
 
+def test_quality_against_a_plain_fit(spark):
+    """Ratios counted text by text, and a hinge-loss optimum that no single dual step improves."""
+    rng = random.Random(6)
+    good, bad = "clear short plain words in order".split(), "win free click now prize order".split()
+    rows = [(i, " ".join(rng.choices(good if i % 3 else bad, k=rng.randint(1, 30))) + rng.choice(["", ".", "!!"]), int(i % 3 > 0)) for i in range(90)]
+    model = quality.learn(spark.createDataFrame(rows, "doc_id long, text string, quality int"))
+    grams = quality.Grams()
+    sets = [grams.slots(t.encode()) for _, t, _ in rows]
+    counts = np.zeros((2, quality.SLOTS))
+    for s, (_, _, y) in zip(sets, rows, strict=True):
+        for k in s:
+            counts[y, k] += 1
+    share = (counts + 1) / (counts + 1).sum(1, keepdims=True)
+    ratio = np.where(counts.sum(0) < 3, 0.0, np.log(share[1] / share[0]))
+    ratio[0] = 1.0
+    weights = np.divide(model["weights"], ratio, out=np.zeros(len(ratio)), where=ratio != 0)
+    signs = np.array([1.0 if y else -1.0 for _, _, y in rows])
+    ones, zeros = (signs > 0).sum(), (signs < 0).sum()
+    costs = np.where(signs > 0, 1.0, max(1.0, ones / zeros)) ** 0.5 / 100
+
+    def loss(w):
+        return 0.5 * (w @ w) + sum(c * max(0.0, 1 - y * (w[s] @ ratio[s])) for c, y, s in zip(costs, signs, sets, strict=True))
+
+    best = loss(weights)
+    for s, y in zip(sets, signs, strict=True):
+        for step in (-0.01, 0.01):
+            moved = weights.copy()
+            moved[s] += step * y * ratio[s]
+            assert loss(moved) >= best - 1e-6
+    a, b = grams.slots(b"one two three"), grams.slots(b"one three two")
+    assert len(np.setdiff1d(a, b)) and quality._slot(np.unique(np.array([5]) * 31 + 7), 8)[0] < quality.SLOTS  # order shows in pairs
+
+
 def test_grammar_classes():
     table, start = toxicity.GRAMMAR, toxicity.START
     assert table[start, "N"][0] == toxicity.REACH and table[start, "Q"][1] == 2 and table[table[start, "Q"], "Q"][1] == 0
