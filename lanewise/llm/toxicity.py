@@ -10,8 +10,10 @@ falls in a class (plain, aimed, negated, reported) and each class has its own le
 
 The lexicon is learned from labelled rows: prefixes of 4 to 8 letters and whole short words, weighed
 by class log-odds over all labelled rows; a word takes the weight of its longest known prefix, so a
-harmless long form beats its stem. At most ``CANDIDATES`` keys, those in most toxic rows, are counted
-in clean rows too. A threat word weighs 1 unless the labels say more. Class weights are a logistic
+harmless long form beats its stem. Every key of ``MIN_ROWS`` toxic rows is counted in all clean rows;
+of the keys, those that say anything are told to the tasks: the toxic ones and the longer forms of
+those, ``LEXICON`` of them at most, the best evidence first. A threat word weighs 1 unless the labels
+say more. Class weights are a logistic
 fit on at most ``FIT_ROWS`` labelled rows, each scored with a lexicon learned from the other half.
 """
 
@@ -24,14 +26,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanewise.llm.common import beside, cut, fold, table
 
 FIT_ROWS = 20_000
-CANDIDATES = 150_000
+LEXICON = 150_000  # keys of the fitted model
 MIN_ROWS = 3
+MAP_BITS = 1 << 26  # 8 MB of bitmap: the broadcast's bound at any corpus size
 SURE = 1.5  # standard errors that a key's toxic rows exceed its share of the clean ones by
 MIN_WEIGHT = 1.2
 REACH = 3
@@ -162,21 +166,65 @@ KINDS = 8
 WIDTH = KINDS + 5
 
 
-def _keys(batches: Iterator[pa.RecordBatch], wanted: frozenset[str] | None) -> Iterator[pa.RecordBatch]:
-    """Rows ``(key, toxic, half, n)``: in how many texts of each label and half each key stands."""
+def _keys(batches: Iterator[pa.RecordBatch], wanted: tuple[np.ndarray, int] | None) -> Iterator[pa.RecordBatch]:
+    """Rows ``(key, toxic, half, n)``: in how many texts of each label and half each key stands; with
+    ``wanted`` only keys whose hash is in that bitmap."""
     counts: dict[tuple[str, int, int], int] = {}
+    known: dict[str, list[str]] = {}
+
+    def asked(key: str) -> bool:
+        bitmap, mask = wanted
+        slot = xxhash.xxh64_intdigest(key.encode(), 42) & mask
+        return bool(bitmap[slot >> 3] >> (slot & 7) & 1)
+
     for batch in batches:
         for text, toxic, half in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            keys = {k for w in set(TOKENS.findall((text or "").lower())) if len(w) > 2 for k in stems(w)}
-            for k in keys if wanted is None else keys & wanted:
+            if len(known) > REMEMBERED:
+                known.clear()
+            words = {w for w in set(TOKENS.findall((text or "").lower())) if len(w) > 2}
+            for w in words - known.keys():
+                known[w] = [k for k in stems(w) if wanted is None or asked(k)]
+            for k in {k for w in words for k in known[w]}:
                 counts[k, toxic, half] = counts.get((k, toxic, half), 0) + 1
     if counts:
         key, toxic, half = zip(*counts, strict=True)
         yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(toxic, pa.int32()), pa.array(half, pa.int32()), pa.array(list(counts.values()), pa.int64())], ["key", "toxic", "half", "n"])
 
 
-def _count(rows: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
-    return rows.mapInArrow(lambda b: _keys(b, wanted), "key string, toxic int, half int, n long").groupBy("key", "toxic", "half").agg(F.sum("n").alias("n"))
+def _count(rows: DataFrame, wanted: tuple[np.ndarray, int] | None) -> DataFrame:
+    given = rows.sparkSession.sparkContext.broadcast(wanted)
+    return rows.mapInArrow(lambda b: _keys(b, given.value), "key string, toxic int, half int, n long").groupBy("key", "toxic", "half").agg(F.sum("n").alias("n"))
+
+
+def _bitmap(keys: DataFrame) -> tuple[np.ndarray, int]:
+    """Bits of the keys' hashes, ``MAP_BITS`` at most, and the mask that makes a hash a place in them."""
+    bits = min(MAP_BITS, max(1 << 18, 1 << (16 * keys.count()).bit_length()))
+    slot = F.pmod(F.xxhash64("key"), F.lit(bits)) + 1
+    parts = keys.groupBy(F.bitmap_bucket_number(slot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("m")).collect()
+    out = np.zeros(bits // 8, np.uint8)
+    for r in parts:  # at most MAP_BITS / 32,768 rows
+        out[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(bytes(r["m"]), np.uint8)
+    return out, bits - 1
+
+
+def _telling(found: DataFrame, sizes: dict[tuple[int, int], int]) -> DataFrame:
+    """The keys of ``found(key, n00, n01, n10, n11)`` that are toxic in some lexicon, of one half or both,
+    and those of which a toxic key is a prefix, with their evidence: how sure the toxic one is."""
+    sure = []
+    for halves in ([0], [1], [0, 1]):
+        n1, n0 = (sum(sizes.get((c, h), 0) for h in halves) for c in (1, 0))
+        c1, c0 = (sum((F.col(f"n{c}{h}") for h in halves), F.lit(0)) for c in (1, 0))
+        due = (c0 + 1) / (n0 + 2) * n1
+        above = (c1 - due) / F.sqrt(due + 1)
+        heavy = F.log((c1 + 0.3) / (n1 + 0.6) * (n0 + 2) / (c0 + 1)) >= MIN_WEIGHT - 1e-9
+        sure.append(F.when((above >= SURE - 1e-9) & heavy & ((c1 >= 2) | (c0 >= 2)), above))
+    judged = cut(found.withColumn("evidence", F.greatest(*sure)))
+    toxic = judged.where("evidence IS NOT NULL")
+    letters = F.rtrim(F.col("key"), F.lit("$"))
+    last = F.least(F.lit(8), F.length(letters) - F.when(F.endswith("key", F.lit("$")), 0).otherwise(1))
+    starts = judged.where("evidence IS NULL").withColumn("to", last).where("to >= 4").select("key", F.explode(F.expr("transform(sequence(4, to), n -> left(key, n))")).alias("stem"))
+    longer = starts.join(toxic.select(F.col("key").alias("stem"), "evidence"), "stem").groupBy("key").agg(F.max("evidence").alias("evidence"))
+    return judged.drop("evidence").join(toxic.select("key", "evidence").unionByName(longer), "key")
 
 
 def learn(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict:
@@ -185,11 +233,11 @@ def learn(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     given = rows.where(F.col(label_col).isin(0, 1)).select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("toxic"), half.alias("half"))
     sizes = {(r["toxic"], r["half"]): r["n"] for r in given.groupBy("toxic", "half").agg(F.count("*").alias("n")).collect()}
     toxic = cut(_count(given.where("toxic = 1"), None))
-    often = toxic.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_ROWS).orderBy(F.desc("n"), "key").limit(CANDIDATES).select("key")
-    keys = frozenset(r["key"] for r in often.collect())  # at most CANDIDATES keys
-    clean = _count(given.where("toxic = 0"), keys)
+    often = cut(toxic.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_ROWS).select("key"))
+    clean = _count(given.where("toxic = 0"), _bitmap(often))
     cells = [F.coalesce(F.sum(F.when((F.col("toxic") == c) & (F.col("half") == h), F.col("n"))), F.lit(0)).alias(f"n{c}{h}") for c in (0, 1) for h in (0, 1)]
-    found = toxic.join(F.broadcast(often), "key", "left_semi").unionByName(clean).groupBy("key").agg(*cells).toArrow()
+    counted = toxic.unionByName(clean).join(often, "key", "left_semi").groupBy("key").agg(*cells)
+    found = _telling(counted, sizes).orderBy(F.desc("evidence"), "key").limit(LEXICON).toArrow()  # at most LEXICON rows
     names = found.column("key").to_pylist()
     counts = np.array([found.column(f"n{c}{h}").to_numpy() for c in (0, 1) for h in (0, 1)], float).reshape(2, 2, -1)
 
@@ -242,7 +290,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     Null and empty texts are scored as texts without a match. Without training rows every score is
     0.5. Other columns do not matter; an empty table gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most CANDIDATES keys
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most LEXICON keys
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner, w = Scanner(shared.value["lexicon"]), shared.value["weights"]
