@@ -68,11 +68,17 @@ def run_circuit(rows: DataFrame, run: str, status: str, policy: Policy = DEFAULT
     return counts.withColumn("open", (F.col("n_unknown") >= policy.circuit_min_unknown) & (F.col("n_unknown") / F.col("n_rows") >= policy.circuit_unknown_ratio))
 
 
-def mass_failure(rows: DataFrame, run: str, key: str, reached: Column, policy: Policy = DEFAULT) -> DataFrame:
-    """Per run: keys that no attempt reached, and whether their number and share open the circuit."""
+def mass_failure(rows: DataFrame, run: str, key: str, reached: Column, policy: Policy = DEFAULT, runs: DataFrame | None = None) -> DataFrame:
+    """Per run: keys that no attempt reached, and whether their number and share open the circuit.
+
+    With ``runs``, the runs that there should be, one without any row is open too: nothing was reached.
+    """
     keys = rows.groupBy(run, key).agg(F.bool_or(reached).alias("_reached"))
     counts = keys.groupBy(run).agg(F.count("*").alias("n_keys"), F.count_if(~F.coalesce("_reached", F.lit(False))).alias("n_failed"))
-    return counts.withColumn("open", (F.col("n_failed") >= policy.mass_min_keys) & (F.col("n_failed") / F.col("n_keys") >= policy.mass_failure_ratio))
+    if runs is not None:
+        counts = runs.select(run).distinct().join(counts, run, "left").fillna(0, ["n_keys", "n_failed"])
+    share = F.try_divide(F.col("n_failed"), F.col("n_keys"))
+    return counts.withColumn("open", (F.col("n_keys") == 0) | (F.col("n_failed") >= policy.mass_min_keys) & (share >= policy.mass_failure_ratio))
 
 
 def with_every(dimension: DataFrame, facts: DataFrame, key: str, measures: Sequence[Column]) -> DataFrame:

@@ -154,6 +154,59 @@ def lineup_score(height: Column, bitrate: Column, speed: Column, startup: Column
     return score + F.when(F.lower(codec).isin("hevc", "h265"), 250).otherwise(0) + F.when(sport, 100).otherwise(0)
 
 
+# fixed values: points of picture, headroom and address in the route scores
+PICTURE = [(1080, 500.0), (720, 100.0)]
+HEADROOM = [(2.0, 70.0), (1.5, 50.0), (1.35, 30.0), (1.15, -90.0)]
+THIN_PICTURE = [(1.8, 0.0), (1.2, -80.0)]
+MODES = {"1080p50": 3000, "1080i50": 2700, "1080p25": 1800, "1080-other": 1500, "720p50": 1000, "720-other": 600}
+RELAY_HOST = "2409:8087:"
+RELAY_PATHS = r"/pltv/|/cms001/|/zte_cms/|/tvod/"
+SIGNED = "accountinfo=|securitykey=|timestamp=|auth_key=|token="
+UNUSABLE = -1e9
+
+
+def _known(hint: Column, current: Column) -> Column:
+    return F.when(_yes(hint), 20).otherwise(0) + F.when(_yes(current), 10).otherwise(0)
+
+
+def fifty_frames_score(ok: Column, progressive: Column, height: Column, speed: Column, stream: Column, startup: Column, hint: Column, current: Column) -> Column:
+    """Decoded frames first, then speed; a label only hints."""
+    flow = F.least(_zero(speed), F.lit(40.0)) * 6 + F.least(_zero(stream), F.lit(15.0)) * 18 - _zero(startup) * 28
+    score = F.when(_yes(progressive), 1400.0).otherwise(0.0) + steps(_zero(height), PICTURE, 0.0) + flow + _known(hint, current)
+    return F.when(_yes(ok), score).otherwise(UNUSABLE)
+
+
+def fifty_fields_score(ok: Column, progressive: Column, interlaced: Column, height: Column, speed: Column, stream: Column, startup: Column, hint: Column, current: Column) -> Column:
+    """Like ``fifty_frames_score`` with interlaced pictures too; given headroom, the picture's rate counts."""
+    rate = _zero(stream)
+    mode = F.when(_yes(progressive), 1550.0).when(_yes(interlaced), 1400.0).otherwise(0.0)
+    room = F.when(rate != 0, steps(_zero(speed) / rate, HEADROOM, -320.0) + steps(rate, THIN_PICTURE, -160.0)).otherwise(0.0)
+    score = mode + steps(_zero(height), PICTURE, 0.0) + F.least(rate, F.lit(12.0)) * 32 + F.least(_zero(speed), F.lit(20.0)) * 1.8 + room - _zero(startup) * 28 + _known(hint, current)
+    return F.when(_yes(ok), score).otherwise(UNUSABLE)
+
+
+def ipv6_score(url: Column, weight: Column, sources: Column) -> Column:
+    """Preference among unmeasured IPv6 routes: sources that agree, relay addresses, no signed query."""
+    low = F.lower(url)
+    said = F.greatest(F.lit(0.0), _zero(sources) - 1) * 40 + F.when(F.startswith(urls.host(url), F.lit(RELAY_HOST)), 18).otherwise(0)
+    return _zero(weight) + said + F.when(low.rlike(RELAY_PATHS), 10).otherwise(0) - F.when(low.rlike(SIGNED), 24).otherwise(0) + F.when(low.contains("love=freedom"), 4).otherwise(0)
+
+
+def rotation_score(height: Column, fps: Column, stream: Column, bitrate: Column, segment: Column, startup: Column, references: Column, reused_host: Column) -> Column:
+    """A candidate's worth in the rotation; the stream's rate, or what was announced where that is 0."""
+    rate = F.coalesce(F.nullif(_zero(stream), F.lit(0.0)), _zero(bitrate))
+    flow = F.when(rate > 0, F.least(rate, F.lit(20.0)) * 40).otherwise(-20.0)
+    score = F.least(_zero(height), F.lit(2160.0)) * 10 + F.when(_zero(fps) >= 45, 5).otherwise(0) + flow + F.least(_zero(segment), F.lit(12.0)) * 2
+    return F.round(score - F.least(_zero(startup), F.lit(10.0)) * 10 + F.least(_zero(references), F.lit(8.0)) * 2 - F.when(_yes(reused_host), 8).otherwise(0), 3)
+
+
+def mode_score(ok: Column, mode: Column, download: Column, second_download: Column, stream: Column, startup: Column) -> Column:
+    """Picture mode, then the slower of two downloads (a second of 0 was not made)."""
+    bonus = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in MODES.items() for x in pair]), mode), F.lit(0))
+    slower = F.least(_zero(download), F.coalesce(F.nullif(_zero(second_download), F.lit(0.0)), _zero(download)))
+    return F.when(_yes(ok), bonus + F.least(slower, F.lit(50.0)) * 8 + F.least(_zero(stream), F.lit(20.0)) * 20 - _zero(startup) * 50).otherwise(UNUSABLE)
+
+
 def easy_ready(fit: Column, checks: Column, failed: Column, geo: Column, mainland: Column, recent: Column) -> Column:
     """Three fresh checks; unless mainland, also three in four of a history of four or more."""
     share = F.aggregate(recent, F.lit(0), lambda a, x: a + x) / F.nullif(F.size(recent), F.lit(0))

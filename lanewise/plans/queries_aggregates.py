@@ -100,6 +100,15 @@ def _(spark, d):
     return agg.mass_failure(events, "run", "user_id", F.col("s") != "UNKNOWN", Policy(mass_failure_ratio=0.05))
 
 
+@query("mass_failure_runs", f"""
+WITH k AS (SELECT CAST(ts AS DATE) AS run, user_id, bool_or({STATUS_SQL} <> 'UNKNOWN') AS reached FROM events WHERE day(ts) % 4 > 0 GROUP BY 1, 2),
+c AS (SELECT run, count(*) AS n_keys, count(*) FILTER (NOT reached) AS n_failed FROM k GROUP BY 1)
+SELECT r.run, coalesce(n_keys, 0) AS n_keys, coalesce(n_failed, 0) AS n_failed, n_keys IS NULL OR n_failed >= 5 AND n_failed / n_keys >= 0.05 AS open FROM (SELECT DISTINCT CAST(ts AS DATE) AS run FROM events) r LEFT JOIN c USING (run)""")
+def _(spark, d):
+    events = table(spark, d, "events").select(F.to_date("ts").alias("run"), "user_id", "ts", status().alias("s"))
+    return agg.mass_failure(events.where(F.day("ts") % 4 > 0), "run", "user_id", F.col("s") != "UNKNOWN", Policy(mass_failure_ratio=0.05), events)
+
+
 @query("dimension_status", "SELECT n_nationkey, count(c_custkey) AS n, round(max(c_acctbal), 2) AS best FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
 def _(spark, d):
     people = table(spark, d, "customer").withColumnRenamed("c_nationkey", "n_nationkey")

@@ -117,6 +117,42 @@ def _(spark, d):
     return measured(spark, d).select("l_orderkey", "l_linenumber", F.round(score, 4).alias("score"))
 
 
+KNOWN_SQL = "CASE WHEN v6 THEN 20 ELSE 0 END + CASE WHEN core THEN 10 ELSE 0 END"
+PICTURE_SQL = "CASE WHEN height >= 1080 THEN 500 WHEN height >= 720 THEN 100 ELSE 0 END"
+
+
+@query("frame_rate_scores", f"""
+SELECT l_orderkey, l_linenumber,
+ round(CASE WHEN ok THEN CASE WHEN failed THEN 1400 ELSE 0 END + {PICTURE_SQL} + least(speed, 40) * 6 + least(mbps, 15) * 18 - late * 28 + {KNOWN_SQL} ELSE -1e9 END, 6) + 0.0 AS frames,
+ round(CASE WHEN ok THEN CASE WHEN failed THEN 1550 WHEN geo THEN 1400 ELSE 0 END + {PICTURE_SQL} + least(mbps, 12) * 32 + least(speed, 20) * 1.8 - late * 28 + {KNOWN_SQL}
+  + CASE WHEN mbps = 0 THEN 0 ELSE CASE WHEN speed / mbps >= 2 THEN 70 WHEN speed / mbps >= 1.5 THEN 50 WHEN speed / mbps >= 1.35 THEN 30 WHEN speed / mbps >= 1.15 THEN -90 ELSE -320 END
+   - CASE WHEN mbps < 1.2 THEN 160 WHEN mbps < 1.8 THEN 80 ELSE 0 END END ELSE -1e9 END, 6) + 0.0 AS fields,
+ round(least(height, 2160) * 10 + CASE WHEN static >= 45 THEN 5 ELSE 0 END + CASE WHEN coalesce(nullif(mbps, 0), checks * 3) > 0 THEN least(coalesce(nullif(mbps, 0), checks * 3), 20) * 40 ELSE -20 END + least(speed, 12) * 2 - least(late, 10) * 10 + least(checks, 8) * 2
+  - CASE WHEN v6 THEN 8 ELSE 0 END, 3) + 0.0 AS rotation,
+ round(CASE WHEN ok THEN CASE checks WHEN 0 THEN 3000 WHEN 1 THEN 2700 WHEN 2 THEN 600 ELSE 0 END + least(CASE WHEN v6 THEN least(speed, mbps + 1) ELSE speed END, 50) * 8 + least(mbps, 20) * 20 - late * 50 ELSE -1e9 END, 6) + 0.0 AS mode
+FROM (SELECT * REPLACE (floor(speed) AS speed) FROM {LINES})""")
+def _(spark, d):
+    c = lambda name: F.floor("speed") if name == "speed" else F.col(name)  # noqa: E731  whole megabits: no score lies half-way between two rounded ones
+    frames = scores.fifty_frames_score(c("ok"), c("failed"), c("height"), c("speed"), c("mbps"), c("late"), c("v6"), c("core"))
+    fields = scores.fifty_fields_score(c("ok"), c("failed"), c("geo"), c("height"), c("speed"), c("mbps"), c("late"), c("v6"), c("core"))
+    rotation = scores.rotation_score(c("height"), c("static"), c("mbps"), c("checks") * 3, c("speed"), c("late"), c("checks"), c("v6"))
+    mode = scores.mode_score(c("ok"), pick(("1080p50", "1080i50", "720-other", "other"), c("checks")), c("speed"), F.when(c("v6"), c("mbps") + 1).otherwise(0), c("mbps"), c("late"))
+    told = {"frames": frames, "fields": fields, "rotation": rotation, "mode": mode}
+    return measured(spark, d).select("l_orderkey", "l_linenumber", *[F.round(v, 3 if k == "rotation" else 6).alias(k) for k, v in told.items()])
+
+
+RELAYED = """concat(CASE page_id % 3 WHEN 0 THEN 'http://[2409:8087:1::5]:80' WHEN 1 THEN 'http://[2001:db8::1]' ELSE 'https://h.test' END, CASE page_id % 4 WHEN 0 THEN '/PLTV/1' WHEN 1 THEN '/tvod/2' ELSE '/live' END,
+ CASE page_id % 5 WHEN 0 THEN '?AuthInfo=1&token=2' WHEN 1 THEN '?love=freedom' WHEN 2 THEN '?timestamp=1&love=freedom' ELSE '' END)"""
+
+
+@query("ipv6_score", """
+SELECT page_id, 0.0 + page_id % 60 + greatest(0, page_id % 4 - 1) * 40 + CASE page_id % 3 WHEN 0 THEN 18 ELSE 0 END + CASE WHEN page_id % 4 < 2 THEN 10 ELSE 0 END
+ - CASE WHEN page_id % 5 IN (0, 2) THEN 24 ELSE 0 END + CASE WHEN page_id % 5 IN (1, 2) THEN 4 ELSE 0 END AS score FROM pages""")
+def _(spark, d):
+    score = scores.ipv6_score(F.expr(RELAYED), F.col("page_id") % 60, F.col("page_id") % 4)
+    return table(spark, d, "pages").select("page_id", score.alias("score"))
+
+
 @query("readiness_gates", f"""
 SELECT l_orderkey, l_linenumber, ok AND checks >= 3 AND NOT failed AND NOT geo AND (core OR l_linenumber % 3 <> 0) AS easy, ok AND checks >= 2 AND NOT failed AND NOT geo AS family,
   ok AND height BETWEEN 1080 AND 2159 AND mbps >= 5 AND speed >= greatest(7, mbps * 1.2) AND late <= 2 AS strict, ok AND height BETWEEN 1080 AND 2159 AND mbps >= 2.5 AND speed >= greatest(5, mbps * 1.5) AND late <= 2 AS safe FROM {LINES}""")
