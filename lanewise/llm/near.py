@@ -15,7 +15,7 @@ the others every pair of different components is compared.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanewise.llm import simhash
-from lanewise.llm.common import beside, components, cut, released, saved
+from lanewise.llm.common import beside, components, cut, discard, released, stored
 
 SHINGLE = 5
 SEED = 42
@@ -99,25 +99,41 @@ def _may_be_alike(n: str, i: str, m: str, j: str) -> Column:
 
 
 def _alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` of keys whose texts' Jaccard likeness is at least four fifths."""
+    """The pairs ``(a, b)`` of keys whose texts' Jaccard likeness is at least four fifths.
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    First by how many shingles start with the same bits, which bounds what two sets share; whole sets
+    are made for the texts of pairs that this leaves, and deleted afterwards.
+    """
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, TOGETHER):
                 part = batch.slice(a, TOGETHER)
-                sets = [shingles(t) for t in part.column(1).to_pylist()]
-                counts = [np.bincount((s.view(np.uint64) >> np.uint64(56)).astype(np.int64), minlength=BUCKETS) for s in sets]
-                columns = [pa.array([len(s) for s in sets], pa.int32()), pa.array(counts, pa.list_(pa.int16())), pa.array(sets, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["key", "n", "c", "s"])
+                found = [shingles(t) for t in part.column(1).to_pylist()]
+                tops = [np.bincount((s.view(np.uint64) >> np.uint64(56)).astype(np.int64), minlength=BUCKETS) for s in found]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in found], pa.int32()), pa.array(tops, pa.list_(pa.int16()))], ["key", "n", "c"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(a, TOGETHER)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t) for t in part.column(1).to_pylist()], pa.list_(pa.int64()))], ["key", "s"])
+
+    def of(pairs: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], shape: str) -> tuple[DataFrame, str]:
+        wanted = cut(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct())
+        return stored(beside(texts, wanted, "key").select("key", "text").mapInArrow(released(each), shape))
 
+    side = lambda told, x: told.select(*[F.col(c).alias(x if c == "key" else c + x) for c in told.columns])
     pairs = cut(pairs)
-    wanted = cut(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct())
-    sets = cut(beside(texts, wanted, "key").select("key", "text").mapInArrow(released(each), "key long, n int, c array<smallint>, s array<bigint>"))
-    side = lambda x, *what: sets.select(F.col("key").alias(x), *[F.col(w).alias(w + x) for w in what])
+    told, path = of(pairs, counts, "key long, n int, c array<smallint>")
     most = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda x, y: x + y)
-    likely = pairs.join(side("a", "n", "c"), "a").join(side("b", "n", "c"), "b").where(9 * most >= 4 * (F.col("na") + F.col("nb"))).select("a", "b")
-    both = cut(likely).join(side("a", "s"), "a").join(side("b", "s"), "b")
-    return cut(both.where(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b").distinct())
+    likely = cut(pairs.join(side(told, "a"), "a").join(side(told, "b"), "b").where(9 * most >= 4 * (F.col("na") + F.col("nb"))).select("a", "b"))
+    discard(texts.sparkSession, path)
+    told, path = of(likely, sets, "key long, s array<bigint>")
+    both = likely.join(side(told, "a"), "a").join(side(told, "b"), "b")
+    alike = cut(both.where(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b").distinct())
+    discard(texts.sparkSession, path)
+    return alike
 
 
 def _small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
@@ -152,7 +168,7 @@ def linked(texts: DataFrame) -> DataFrame:
     least = F.min(F.struct("r", "n", "key"))
     met = rows.withColumns({"some": F.min("key").over(at), "top": F.max("key").over(at)}).where("some < top")  # one shuffle, by h, for all three windows
     met = met.withColumns({"p": least.over(Window.partitionBy("h", "low"))["key"], "q": least.over(Window.partitionBy("h", "high"))["key"]})
-    met = saved(met.select("h", "key", "n", "i", "p", "q"))
+    met, path = stored(met.select("h", "key", "n", "i", "p", "q"))
     near = met.select(F.explode(F.array_distinct(F.array("p", "q"))).alias("pivot"), "key").where("pivot <> key")
     pivots = near.select(F.least("pivot", "key").alias("a"), F.greatest("pivot", "key").alias("b")).distinct()
     first = tiled.unionByName(_alike(_apart(pivots, components(tiled)), texts))
@@ -160,6 +176,7 @@ def linked(texts: DataFrame) -> DataFrame:
     placed = met.join(_small(roots), met["key"] == F.col("node"), "left").select("h", "key", "n", "i", F.coalesce("root", "key").alias("root"))
     still = placed.withColumns({"low": F.min("root").over(at), "high": F.max("root").over(at)}).where("low < high").select("h", "key", "n", "i", "root")
     still = cut(still)
+    discard(texts.sparkSession, path)
     other = still.select("h", F.col("key").alias("key2"), F.col("n").alias("n2"), F.col("i").alias("i2"), F.col("root").alias("root2"))
     pairs = still.join(other, "h").where("root < root2").where(_may_be_alike("n", "i", "n2", "i2"))
     second = _alike(pairs.select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct(), texts)

@@ -91,7 +91,7 @@ def test_stages_keep_the_columns(spark, tmp_path):
 
 def test_sql(spark):
     duck = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         duck.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     for name, sql in entry.ORACLES.items():
         found, expected = entry.QUERIES[name](spark, SF), duck.sql(sql)
