@@ -89,3 +89,37 @@ def moved_after(rows: DataFrame, position: str, subset: Column, anchor: Column)
     last = F.max(F.when(anchor, F.col(position))).over(everything)
     place = F.when(subset & last.isNotNull(), F.greatest(last, F.lit(0))).otherwise(F.col(position))
     return rows.withColumn("_place", place).withColumn("_moved", subset).withColumn("pos", F.row_number().over(Window.orderBy("_place", "_moved", position))).drop("_place", "_moved")
+
+
+def line_up(
+    rows: DataFrame, group: str, tall: Column, order: Sequence[Column], short_order: Sequence[Column], reserved: tuple[str, int], single: str,
+    capped: tuple[str, int], least: int, most: int,
+) -> DataFrame:
+    """A line-up of ``least`` to ``most`` rows; adds ``pos``.
+
+    In turn: up to the number given of the reserved group, tall rows first; the best of the group
+    ``single``; all ``tall`` rows in ``order`` while there is room to ``most``; the others in
+    ``short_order`` and then what the cap left out, only until there are ``least``. Of the capped
+    group at most the number given is taken before that. Every turn is a bounded top, so no task
+    sorts the table. ``rows`` are one a station and URL, and the orders leave no ties.
+    """
+    (kept, n_kept), (held, n_held) = reserved, capped
+    names = rows.columns
+    told = rows.withColumns({"_tall": F.coalesce(tall, F.lit(False)), "_o": F.struct(*order), "_s": F.struct(*short_order)})
+    of = F.coalesce(F.col(group), F.lit(""))
+    first = told.where(of == kept).orderBy(F.desc("_tall"), "_o").limit(n_kept).withColumn("_turn", F.lit(1))
+    best = told.where(of == single).orderBy("_o").limit(1).withColumn("_turn", F.lit(2))
+    taken = first.unionByName(best)
+    rest = told.join(taken.select("_o").distinct(), "_o", "left_anti").withColumn("_turn", F.when(F.col("_tall"), 3).otherwise(4))
+    within = [F.col("_turn"), F.when(F.col("_turn") == 3, F.col("_o")), F.col("_s")]
+    free = [rest.where(of != held).where(F.col("_turn") == turn).orderBy(*within).limit(most) for turn in (3, 4)]
+    bound = rest.where(of == held).orderBy(*within).limit(n_held + least)
+    nth = F.row_number().over(Window.orderBy(*within))  # of at most that many rows
+    bound = bound.withColumn("_turn", F.when(nth <= n_held, F.col("_turn")).otherwise(F.col("_turn") + 2))
+    every = taken
+    for more in (*free, bound):
+        every = every.unionByName(more.select(every.columns))
+    by_rank = F.col("_turn").isin(3, 5)
+    line = Window.orderBy("_turn", F.when(F.col("_turn") == 1, ~F.col("_tall")), F.when(by_rank | (F.col("_turn") < 3), F.col("_o")), "_s")
+    placed = every.withColumn("pos", F.row_number().over(line))
+    return placed.where(F.col("pos") <= F.when(F.col("_turn") <= 3, most).otherwise(least)).select(*names, "pos")

@@ -193,3 +193,20 @@ def _(spark, d):
     pool = spark.sql(f"{POOL} FROM {{events}}", events=table(spark, d, "events"))
     found = greedy.topped_up(pool.where(f"last < {TODAY}"), pool.where(f"last >= {TODAY}"), "channel", "url", "last", "item", "listed", 60)
     return found.select("item", "channel", "url", "pos")
+
+
+@query("lineup_range", """
+WITH p AS (SELECT p_partkey, p_brand, p_size >= 30 AS tall, p_retailprice AS worth FROM part),
+k AS (SELECT p_partkey, 1 AS turn FROM p WHERE p_brand = 'Brand#7' ORDER BY NOT tall, worth DESC, p_partkey LIMIT 20),
+b AS (SELECT p_partkey, 2 AS turn FROM p WHERE p_brand = 'Brand#9' ORDER BY worth DESC, p_partkey LIMIT 1),
+r AS (SELECT p.*, CASE WHEN tall THEN 3 ELSE 4 END AS turn FROM p WHERE p_partkey NOT IN (SELECT p_partkey FROM k) AND p_partkey NOT IN (SELECT p_partkey FROM b)),
+c AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY turn, CASE WHEN tall THEN -worth ELSE p_partkey END, p_partkey) AS nth FROM r),
+a AS (SELECT p_partkey, p_brand, tall, worth, CASE WHEN p_brand = 'Brand#3' AND nth > 8 THEN turn + 2 ELSE turn END AS turn FROM c
+ UNION ALL SELECT p.*, turn FROM p JOIN k USING (p_partkey) UNION ALL SELECT p.*, turn FROM p JOIN b USING (p_partkey)),
+o AS (SELECT *, row_number() OVER (ORDER BY turn, CASE WHEN turn = 1 THEN NOT tall END, CASE WHEN turn IN (1, 2, 3, 5) THEN -worth ELSE p_partkey END, p_partkey) AS pos FROM a)
+SELECT p_partkey, p_brand, pos FROM o WHERE pos <= CASE WHEN turn <= 3 THEN 500 ELSE 400 END""")
+def _(spark, d):
+    rows = table(spark, d, "part").select("p_partkey", "p_brand", "p_size", "p_retailprice")
+    order = [-F.col("p_retailprice"), F.col("p_partkey")]
+    found = ranking.line_up(rows, "p_brand", F.col("p_size") >= 30, order, [F.col("p_partkey")], ("Brand#7", 20), "Brand#9", ("Brand#3", 8), 400, 500)
+    return found.select("p_partkey", "p_brand", "pos")

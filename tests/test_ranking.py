@@ -90,3 +90,32 @@ def test_moved_after(spark):
     rows = spark.createDataFrame([(0, "x"), (1, "n"), (2, "m"), (3, "n"), (4, "m")], "p int, kind string")
     got = ranking.moved_after(rows, "p", F.col("kind") == "m", F.col("kind") == "n").orderBy("pos").collect()
     assert [r.p for r in got] == [0, 1, 3, 2, 4]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_line_up_is_the_loop(spark, seed):
+    rng = random.Random(seed)
+    rows = [(i, rng.choice(["kept", "one", "held", "held", "a", None]), rng.random() < rng.choice([0.1, 0.5]), rng.randint(0, 9)) for i in range(120)]
+    least, most, n_kept, n_held = 40, rng.choice([45, 70]), 5, rng.choice([3, 12])
+    best = lambda r: (-r[3], r[0])
+    hd, fb = sorted((r for r in rows if r[2]), key=best), sorted((r for r in rows if not r[2]), key=lambda r: r[0])
+    chosen = []
+
+    def take(r, free=False):
+        if r not in chosen and len(chosen) < most and (free or r[1] != "held" or sum(x[1] == "held" for x in chosen) < n_held):
+            chosen.append(r)
+
+    for r in sorted((r for r in rows if r[1] == "kept"), key=lambda r: (not r[2], *best(r)))[:n_kept]:
+        take(r)
+    for r in sorted((r for r in rows if r[1] == "one"), key=best)[:1]:
+        take(r)
+    for r in hd:
+        take(r)
+    for free, part in ((False, fb), (True, hd + fb)):
+        for r in part:
+            if len(chosen) < least:
+                take(r, free)
+    frame = spark.createDataFrame(rows, "i int, g string, tall boolean, worth int")
+    got = ranking.line_up(frame, "g", F.col("tall"), [-F.col("worth"), F.col("i")], [F.col("i")], ("kept", n_kept), "one", ("held", n_held), least, most)
+    assert [r.i for r in got.orderBy("pos").collect()] == [r[0] for r in chosen]
+    assert ranking.line_up(frame.limit(0), "g", F.col("tall"), [F.col("i")], [F.col("i")], ("kept", 1), "one", ("held", 1), 1, 2).count() == 0
