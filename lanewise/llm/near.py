@@ -150,14 +150,6 @@ def _tiled(texts: DataFrame) -> DataFrame:
     return equal.unionByName(simhash.links(points).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
 
 
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs whose ends are not in one component yet."""
-    small = _small(roots)
-    for end in ("a", "b"):
-        pairs = pairs.join(small.select(F.col("node").alias(end), F.col("root").alias(f"_{end}")), end, "left")
-    return pairs.where(~F.coalesce(F.col("_a") == F.col("_b"), F.lit(False))).select("a", "b")
-
-
 def linked(texts: DataFrame) -> DataFrame:
     """Components ``(node, root)`` of ``texts(key long, text)`` over all pairs of near copies; texts
     without one are not returned."""
@@ -171,7 +163,7 @@ def linked(texts: DataFrame) -> DataFrame:
     met, path = stored(met.select("h", "key", "n", "i", "p", "q"))
     near = met.select(F.explode(F.array_distinct(F.array("p", "q"))).alias("pivot"), "key").where("pivot <> key")
     pivots = near.select(F.least("pivot", "key").alias("a"), F.greatest("pivot", "key").alias("b")).distinct()
-    first = tiled.unionByName(_alike(_apart(pivots, components(tiled)), texts))
+    first = tiled.unionByName(_alike(pivots.join(_small(tiled), ["a", "b"], "left_anti"), texts))
     roots = components(first)
     placed = met.join(_small(roots), met["key"] == F.col("node"), "left").select("h", "key", "n", "i", F.coalesce("root", "key").alias("root"))
     still = placed.withColumns({"low": F.min("root").over(at), "high": F.max("root").over(at)}).where("low < high").select("h", "key", "n", "i", "root")
