@@ -31,6 +31,7 @@ from lanewise.llm.suffixes import Rolling, repeated_windows
 WINDOW = 400
 KGRAM = 64
 CROWD = 4_000
+MAP_BITS = 1 << 28  # 32 MB of bitmap: the broadcast's bound
 PASSAGE = 49  # words: a passage of over 50 less its first and last, which may touch its neighbours
 CODE = 4  # bytes of a word's hash
 BUFFER = 1 << 18  # bytes of documents hashed at a time
@@ -156,7 +157,7 @@ def repeated(docs: DataFrame, window: int = WINDOW, kgram: int = KGRAM, crowd: i
     without nulls; they may overlap, and count bytes of what ``written`` makes of a text. Rows are told
     apart by id and crc."""
     found = saved(runs(docs, window, kgram, written))
-    bits = bits_for(found.count())
+    bits = bits_for(found.count(), MAP_BITS)
     shared = flag_shared(found, "h", shared_slots(found, "h", bits), bits).where("_shared").drop("_shared")
     spans = saved(shared.groupBy(*SPAN).agg(F.count("*").alias("copies"), F.min(F.struct("id", "crc", "lo", "size")).alias("one")))
     whole = spans.where("copies > 1").select(*SPAN, F.lit(0).alias("a"), F.col("one.size").alias("b"))
