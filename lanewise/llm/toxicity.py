@@ -172,18 +172,29 @@ def _keys(batches: Iterator[pa.RecordBatch], wanted: tuple[np.ndarray, int] | No
     counts: dict[tuple[str, int, int], int] = {}
     known: dict[str, list[str]] = {}
 
-    def asked(key: str) -> bool:
-        bitmap, mask = wanted
-        slot = xxhash.xxh64_intdigest(key.encode(), 42) & mask
-        return bool(bitmap[slot >> 3] >> (slot & 7) & 1)
+    bitmap, mask = (wanted[0].tobytes(), wanted[1]) if wanted else (b"", 0)
+    digest = xxhash.xxh64_intdigest
+
+    def asked(key: str) -> int:
+        slot = digest(key.encode(), 42) & mask
+        return bitmap[slot >> 3] >> (slot & 7) & 1
+
+    def asked_of(word: str) -> list[str]:
+        """The word's keys in the bitmap; where a prefix stands in too few texts, longer ones do too."""
+        found, last = [], min(8, len(word))
+        for k in range(4, last + 1):
+            if not asked(word[:k]):
+                return found
+            found.append(word[:k])
+        return [*found, word + "$"] if len(word) <= 12 and asked(word + "$") else found
 
     for batch in batches:
         for text, toxic, half in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if len(known) > REMEMBERED:
                 known.clear()
             words = {w for w in set(TOKENS.findall((text or "").lower())) if len(w) > 2}
-            for w in words - known.keys():
-                known[w] = [k for k in stems(w) if wanted is None or asked(k)]
+            for w in words.difference(known):
+                known[w] = asked_of(w) if wanted else stems(w)
             for k in {k for w in words for k in known[w]}:
                 counts[k, toxic, half] = counts.get((k, toxic, half), 0) + 1
     if counts:
