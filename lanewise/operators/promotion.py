@@ -33,20 +33,30 @@ def promoted(
     """
     low = F.lit(False) if clear is None else ~F.coalesce(clear, F.lit(False))
     rank = F.struct(*order)
-    marked = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(host).alias("_host"), rank.alias("_rank"), low.alias("_low"), F.coalesce(acceptable, F.lit(False)).alias("_fit"), F.coalesce(current, F.lit(False)).alias("_current"), F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("_row"))
+    # the rows themselves stay behind: only what decides is sorted, shuffled and kept
+    marked = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(host).alias("_host"), rank.alias("_rank"), low.alias("_low"), F.coalesce(acceptable, F.lit(False)).alias("_fit"), F.coalesce(current, F.lit(False)).alias("_current"))
     ends = marked.where("_current").groupBy("_key").agg(F.min("_rank").alias("_end"))
     # of a key's rows on one host only the first can matter: where it is turned away, so are the others
-    offers = marked.where("_fit AND NOT _current AND _host IS NOT NULL").groupBy("_key", "_host").agg(F.min("_rank").alias("_rank"), F.min_by(F.struct("_low", "_row"), "_rank").alias("_it"))
-    offers = offers.join(ends, "_key", "left").where("_end IS NULL OR _rank < _end").select("_key", "_host", "_rank", F.col("_it._low").alias("_low"), F.col("_it._row").alias("_row"))
+    offers = marked.where("_fit AND NOT _current AND _host IS NOT NULL").groupBy("_key", "_host").agg(F.min(F.struct("_rank", "_low")).alias("_it"))
+    offers = offers.select("_key", "_host", "_it.*").join(ends.hint("shuffle_hash"), "_key", "left").where("_end IS NULL OR _rank < _end").drop("_end")
     offers = cut(offers.repartition("_key"))
     full = cut(offers.select("_host", F.col("_key").alias("_last")).limit(0))  # hosts with no room after key ``_last``
     by_host = Window.partitionBy("_host").orderBy("_key")
     for _ in range(max_rounds):
         still = offers.join(hinted(full), "_host", "left").where("_last IS NULL OR _key <= _last")
-        proposals = still.groupBy("_key").agg(F.min_by(F.struct("_host", "_low", "_row"), "_rank").alias("_best")).select("_key", "_best.*")
+        proposals = still.groupBy("_key").agg(F.min(F.struct("_rank", "_host", "_low")).alias("_best")).select("_key", "_best.*")
         held = proposals.where("NOT _low").select("_host", "_key").withColumn("_nth", F.row_number().over(by_host)).where(F.col("_nth") <= cap)
         now = cut(held.where(F.col("_nth") == cap).select("_host", F.col("_key").alias("_last")))
         if now.join(full, ["_host", "_last"], "left_anti").isEmpty():
-            return proposals.where("NOT _low").select("_row.*")
+            return _whole(rows, key, host, rank, acceptable, proposals.where("NOT _low").select("_key", "_host", "_rank"))
         full = now
     raise RuntimeError(f"promotions did not settle in {max_rounds} rounds")
+
+
+def _whole(rows: DataFrame, key: str, host: str, rank: Column, acceptable: Column, chosen: DataFrame) -> DataFrame:
+    """The rows of ``chosen(_key, _host, _rank)``, streamed past them unsorted; of rows that are alike in all three, one."""
+    given = rows.where(acceptable).select(F.col(key).alias("_key"), F.col(host).alias("_host"), rank.alias("_rank"), *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(rows.columns)])
+    chosen = cut(chosen)
+    small = hinted(chosen)
+    found = given.join(chosen.hint("shuffle_hash") if small is chosen else small, ["_key", "_host", "_rank"])
+    return found.dropDuplicates(["_key"]).select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(rows.columns)])

@@ -33,7 +33,7 @@ def _(spark, d):
     best = lines.where(NOW).groupBy("l_partkey").agg(F.max("l_extendedprice").alias("top"))
     clear = F.col("top").isNull() | (F.col("l_extendedprice") >= F.col("top") + MARGIN)
     order = [-F.col("l_extendedprice"), F.col("l_orderkey"), F.col("l_linenumber")]
-    chosen = promotion.promoted(lines.join(best, "l_partkey", "left"), "l_partkey", "l_suppkey", order, F.expr(FIT), F.expr(NOW), clear)
+    chosen = promotion.promoted(lines.join(best.hint("shuffle_hash"), "l_partkey", "left"), "l_partkey", "l_suppkey", order, F.expr(FIT), F.expr(NOW), clear)
     return chosen.select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber")
 
 

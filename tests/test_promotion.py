@@ -51,6 +51,16 @@ def test_promotion_chain_and_edges(spark):
     assert promotion.promoted(frame.limit(0), *args).count() == 0
 
 
+def test_promotion_keeps_and_sorts_only_what_decides(spark, monkeypatch):
+    kept, cut = [], promotion.cut
+    monkeypatch.setattr(promotion, "cut", lambda df: kept.append(df.columns) or cut(df))
+    rows = [(k, f"h{k % 3}", s, True, False, True, "x" * 1000) for k in range(9) for s in range(4)]
+    frame = spark.createDataFrame([*rows, *rows], ROW)  # every row twice: at most one a key all the same
+    got = promotion.promoted(frame, "k", "h", [-F.col("score")], F.col("fit"), F.col("now"), cap=2).collect()
+    assert sorted(map(tuple, got)) == [(k, f"h{k % 3}", 3, True, False, True, "x" * 1000) for k in range(6)]
+    assert kept[0] == ["_key", "_host", "_rank", "_low"] and all(set(c) <= {*kept[0], "_last"} for c in kept)
+
+
 TARGETS = [("Brand#1", 1), ("Brand#2", 2), ("red ring", 3), ("ring", 4), ("Ring!", 5), ("rod", 6), ("bar", 7), ("", 8), ("a.b", 9)]
 NAMES = [None, "", "brand#1 ring", "brand#3 ring", "RED RING", "ring", "old red-ring x", "bar rod", "rod bar", "nothing", "xaby"]
 
