@@ -12,6 +12,7 @@ window; tokenising, ranking, placing and cutting run on Spark.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -49,13 +50,20 @@ class ChunkIds(WordIds):
     straight to the model in its byte alphabet; one sign of ``ENDS`` after it is a token of its own.
     """
 
-    UNEVEN = re.compile(r"[^\S \n]| \s|\n\n\n|\n\n |\n[\n ]\Z")
+    ODD = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace() and c not in " \n"]
+    RUNS = "  ", " \n", "\n\n\n", "\n\n "
     TANGLED = re.compile(r"\s (?:\s|\Z)| \n")
 
     def __init__(self, path: str) -> None:
         super().__init__(path)
         self.feed = self._encode(["\n"])[0]
 
+    @classmethod
+    def uneven(cls, text: str) -> bool:
+        """Whether ``text`` has other white space than single spaces and one or two line feeds, or ends in
+        a line feed and more; sought sign by sign, which goes many times faster than a pattern."""
+        return any(c in text for c in cls.RUNS) or any(c in text for c in cls.ODD) or text.endswith(("\n\n", "\n "))
+
     def learn(self, words: set[str]) -> None:
         """Chunks that start with a line feed are as they stand; the others follow a space."""
         if len(self.new) + len(words) > CHUNKS:
@@ -75,11 +83,15 @@ class ChunkIds(WordIds):
                 if ids is None:
                     line = base[:1] == "\n"
                     letters = base[1:] if line else base
-                    if not letters.isalpha() or (not letters.isascii() and max(letters) >= self.LATIN):
+                    if not letters.isalpha():
                         hard.append(w)
                         continue
-                    shown = letters if letters.isascii() else letters.encode("utf-8").decode("latin-1").translate(self.alphabet)
-                    ids = b"".join([four[t.id] for t in tokenize(shown if line else space + shown)])
+                    if not letters.isascii():
+                        if max(letters) >= self.LATIN:
+                            hard.append(w)
+                            continue
+                        letters = letters.encode("utf-8").decode("latin-1").translate(self.alphabet)
+                    ids = b"".join([four[t.id] for t in tokenize(letters if line else space + letters)])
                     bases[base] = ids = self.feed + ids if line else ids
                 if end:
                     ids += end
@@ -93,7 +105,7 @@ class ChunkIds(WordIds):
         for i, t in enumerate(texts):
             if "<|" in t:
                 whole.append(i)
-            elif not self.UNEVEN.search(t):
+            elif not self.uneven(t):
                 chunks[i] = ("\n" + t).replace("\n", " \n").split(" ")
             elif not self.TANGLED.search(t):
                 first.append(i)
