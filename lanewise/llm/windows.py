@@ -12,24 +12,27 @@ window; tokenising, ranking, placing and cutting run on Spark.
 from __future__ import annotations
 
 import re
+import string
 import sys
 import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lanewise.llm.common import Batches, beside, discard, released, saved, stored, table
-from lanewise.llm.packing import CHUNK_CHARS, WordIds, _complete, _use
+from lanewise.llm.packing import WordIds, _complete, _use
 
 CAPACITY = 1024
 STEPS = 300
-CHUNKS = 400_000  # remembered in a generation, of which there are two
+PARTS = 300_000  # remembered by a worker in a generation, of which there are two
+LONGEST = 64  # signs of a part that is remembered
+TOGETHER = 4_000_000  # signs of text cut at a time
 PLACED = "row long, at long, length long, sequence_id long, offset long, whole boolean"
 
 
@@ -40,19 +43,22 @@ def default_tokenizer() -> str:
 
 
 class ChunkIds(WordIds):
-    """Ids of texts by a byte-level tokenizer, chunk by chunk, with remembered chunks.
+    """Ids of texts by a byte-level tokenizer, part by part, with two generations of remembered parts.
 
     The tokenizer's splitter never goes on over a space after a sign that is not white space, and
     starts anew there; nor does it join a line feed to the next sign. So a text with no white space
     but single spaces and one or two line feeds is cut before each of them; one with other white
     space is cut before spaces only, and where that is not safe, or where it may hold special
-    tokens, it is encoded whole. A chunk of Latin letters is one word to the splitter and goes
-    straight to the model in its byte alphabet; one sign of ``ENDS`` after it is a token of its own.
+    tokens, it is encoded whole. Many texts are cut together, and their chunks told apart, by numpy
+    and Arrow. A chunk of Latin letters is one word to the splitter and goes straight to the model in
+    its byte alphabet; a run of ``TAILS`` after it is a part of its own. Python meets each different
+    part once for all the texts.
     """
 
     ODD = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace() and c not in " \n"]
     RUNS = "  ", " \n", "\n\n\n", "\n\n "
     TANGLED = re.compile(r"\s (?:\s|\Z)| \n")
+    TAILS = string.punctuation.replace("'", "")  # an apostrophe may begin a token with the letters after it
 
     def __init__(self, path: str) -> None:
         super().__init__(path)
@@ -64,63 +70,83 @@ class ChunkIds(WordIds):
         a line feed and more; sought sign by sign, which goes many times faster than a pattern."""
         return any(c in text for c in cls.RUNS) or any(c in text for c in cls.ODD) or text.endswith(("\n\n", "\n "))
 
-    def learn(self, words: set[str]) -> None:
-        """Chunks that start with a line feed are as they stand; the others follow a space."""
-        if len(self.new) + len(words) > CHUNKS:
-            self.old, self.new, self.bases = self.new, {}, {}
-        new, old, bases, four, tokenize, ends = self.new, self.old, self.bases, self.four, self.model.tokenize, self.ends
-        space = self.alphabet[32]
+    def learn(self, parts: list[str]) -> list[bytes]:
+        """The ids of different ``parts``. A part of Latin letters starts with its space or line feed."""
+        if len(self.new) + len(parts) > PARTS:
+            self.old, self.new = self.new, {}
+        new, old, four, tokenize, space = self.new, self.old, self.four, self.model.tokenize, self.alphabet[32]
         hard = []
-        for w in words.difference(new):
-            ids = old.get(w)
+        found = list(map(new.get, parts))
+        for k in [k for k, ids in enumerate(found) if ids is None]:
+            part = parts[k]
+            ids = old.get(part)
             if ids is None:
-                end = w[-1:]
-                if end in ends:
-                    base, end = w[:-1], ends[end]
-                else:
-                    base, end = w, b""
-                ids = bases.get(base)
-                if ids is None:
-                    line = base[:1] == "\n"
-                    letters = base[1:] if line else base
-                    if not letters.isalpha():
-                        hard.append(w)
-                        continue
-                    if not letters.isascii():
-                        if max(letters) >= self.LATIN:
-                            hard.append(w)
-                            continue
-                        letters = letters.encode("utf-8").decode("latin-1").translate(self.alphabet)
-                    ids = b"".join([four[t.id] for t in tokenize(letters if line else space + letters)])
-                    bases[base] = ids = self.feed + ids if line else ids
-                if end:
-                    ids += end
-            new[w] = ids
+                lead, letters = part[:1], part[1:]
+                if lead not in (" ", "\n") or not letters.isalpha() or max(letters) >= self.LATIN:
+                    hard.append(k)
+                    continue
+                if not letters.isascii():
+                    letters = letters.encode("utf-8").decode("latin-1").translate(self.alphabet)
+                ids = b"".join([four[t.id] for t in tokenize(space + letters if lead == " " else letters)])
+                if lead == "\n":
+                    ids = self.feed + ids
+            found[k] = ids
+            if len(part) <= LONGEST:
+                new[part] = ids
         for at in range(0, len(hard), 20_000):
             some = hard[at : at + 20_000]
-            new.update(zip(some, self._encode([w if w[:1] == "\n" else " " + w for w in some]), strict=True))
+            for k, ids in zip(some, self._encode([parts[k] for k in some]), strict=True):
+                found[k] = ids
+                if len(parts[k]) <= LONGEST:
+                    new[parts[k]] = ids
+        return found
+
+    def _parts(self, chunks: pa.Array) -> pa.DictionaryArray:
+        """Two parts of each of ``chunks``: Latin letters (with the sign before them) and their tail, else all of it and nothing."""
+        _, starts, data = chunks.buffers()
+        starts = np.frombuffer(starts, np.int64, len(chunks) + 1)
+        bare = pc.utf8_rtrim(chunks, characters=self.TAILS)
+        plain = pc.utf8_is_alpha(pc.utf8_slice_codeunits(bare, 1)).to_numpy(zero_copy_only=False)
+        plain &= np.maximum.reduceat(np.frombuffer(data, np.uint8, starts[-1]), starts[:-1]) < self.LATIN.encode()[0]
+        bounds = np.empty(2 * len(chunks) + 1, np.int64)
+        bounds[::2] = starts
+        bounds[1::2] = np.where(plain, starts[:-1] + pc.binary_length(bare).to_numpy(), starts[1:])
+        return pa.LargeStringArray.from_buffers(2 * len(chunks), pa.py_buffer(bounds), data).dictionary_encode()
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        whole, first, chunks = [], [], {}
+        whole, even, first = [], [], []
         for i, t in enumerate(texts):
             if "<|" in t:
                 whole.append(i)
             elif not self.uneven(t):
-                chunks[i] = ("\n" + t).replace("\n", " \n").split(" ")
+                even.append(i)
             elif not self.TANGLED.search(t):
                 first.append(i)
-                chunks[i] = t.split(" ")
             else:
                 whole.append(i)
-        heads = dict(zip(first, self._encode([chunks[i][0] for i in first]), strict=True))
-        for words in chunks.values():
-            del words[0]
-        self.learn(set(chain.from_iterable(chunks.values())))
-        get, out = self.new.__getitem__, dict(zip(whole, self._encode([texts[i] for i in whole]), strict=True))
-        skip = len(self.feed)
-        for i, words in chunks.items():
-            ids = b"".join(map(get, words))
-            out[i] = heads[i] + ids if i in heads else ids[skip:]
+        out = dict(zip(whole, self._encode([texts[i] for i in whole]), strict=True))
+        cut = even + first
+        if not cut:
+            return [out[i] for i in range(len(texts))]
+        said = [b"\n" + texts[i].encode() for i in even] + [texts[i].encode() for i in first]
+        ends = np.cumsum([len(t) for t in said])
+        data = np.frombuffer(b"".join(said), np.uint8)
+        begins = data == 32
+        feeds = int(ends[len(even) - 1]) if even else 0
+        begins[:feeds] |= data[:feeds] == 10
+        begins[0] = True
+        begins[ends[:-1]] = True
+        bounds = np.append(np.flatnonzero(begins), len(data))
+        chunks = pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds), pa.py_buffer(data)).dictionary_encode()
+        parts = self._parts(chunks.dictionary)
+        ids = pa.array(self.learn(parts.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(parts.indices)
+        _, pairs, body = ids.buffers()
+        pairs = np.ascontiguousarray(np.frombuffer(pairs, np.int64, len(ids) + 1)[::2])
+        each = pa.Array.from_buffers(pa.large_binary(), len(pairs) - 1, [None, pa.py_buffer(pairs), body]).take(chunks.indices)
+        at = np.frombuffer(each.buffers()[1], np.int64, len(each) + 1)[np.searchsorted(bounds, np.concatenate([[0], ends]))].tolist()
+        joined, skip = memoryview(each.buffers()[2]), len(self.feed)
+        for k, i in enumerate(cut):
+            out[i] = bytes(joined[at[k] + (skip if k < len(even) else 0) : at[k + 1]])
         return [out[i] for i in range(len(texts))]
 
 
@@ -141,7 +167,7 @@ def pieces(docs: DataFrame, path: str, id_col: str, text_col: str, capacity: int
             start = 0
             while start < len(texts):
                 end, size = start + 1, len(texts[start])
-                while end < len(texts) and size + len(texts[end]) <= CHUNK_CHARS:
+                while end < len(texts) and size + len(texts[end]) <= TOGETHER:
                     size += len(texts[end])
                     end += 1
                 where, numbers, rests = [], [], []
@@ -159,7 +185,6 @@ def pieces(docs: DataFrame, path: str, id_col: str, text_col: str, capacity: int
                     [id_col, "row", "start", "length", "ids_crc32", "doc_tokens", "ids"],
                 )
                 start = end
-        chunks.new, chunks.old, chunks.bases = {}, {}, {}  # the tokenizer stays with the worker, its chunks do not
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(released(cut_up), f"`{id_col}` {kind}, row long, start long, length long, ids_crc32 long, doc_tokens long, ids binary")

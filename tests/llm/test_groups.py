@@ -64,6 +64,36 @@ def test_chunk_ids():
         assert np.frombuffer(ids, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_chunk_ids_tokenise_each_word_once_whatever_follows_it(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = windows.default_tokenizer()
+    plain, chunks, asked = Tokenizer.from_file(path), windows.ChunkIds(path), []
+    encode = chunks._encode
+    monkeypatch.setattr(chunks, "_encode", lambda texts: asked.extend(texts) or encode(texts))
+    words = ["tree", "Haus", "été", "ñandú"]
+    texts = [" ".join(w + tail for w in words) for tail in ("", "%%%", "***", ".)", "?!", "---", '."', "_")]
+    for _ in range(2):
+        for t, ids in zip(texts, chunks.ids(texts), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
+    assert sorted(asked) == sorted(["", "%%%", "***", ".)", "?!", "---", '."', "_"])  # the words go to the model
+
+    odd = ["a'", "a's.", "a.'s", "×.", "a×.", "Ā.", "ɐ.", "漢.", "a…", "a….", "1.", "a1.", ".", "..a", "ª.", "µ!", "'", "'.", "-a-", "a\0.", "é́.", "ŉ.", "ǅ?"]
+    texts = [lead + w + end for lead in ("", " ", "\n", "\n\n", "b ", "b\n", "b\t", "\t") for w in odd for end in ("", " ", "\n", " c.", "\nc.", "\tc.")]
+    for t, ids in zip(texts, chunks.ids(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_chunk_ids_forget_parts_and_ids_stay(monkeypatch):
+    monkeypatch.setattr(windows, "PARTS", 3)
+    chunks = windows.ChunkIds(windows.default_tokenizer())
+    texts = ["tree Haus, x1", "Haus tree. ñandú!", "", "x1 tree\ttree"]
+    first = [chunks.ids([t])[0] for t in texts]
+    assert [chunks.ids([t])[0] for t in texts] == first == windows.ChunkIds(windows.default_tokenizer()).ids(texts)
+    chunks.ids(["x" * 1000 + " " + "漢" * 1000])
+    assert max(map(len, chunks.new)) <= windows.LONGEST
+
+
 def test_uneven_white_space_is_what_the_pattern_says():
     pattern = re.compile(r"[^\S \n]| \s|\n\n\n|\n\n |\n[\n ]\Z")
     rng = random.Random(5)
