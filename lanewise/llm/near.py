@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanewise.llm import simhash
-from lanewise.llm.common import beside, components, cut, discard, released, stored
+from lanewise.llm.common import components, cut, discard, released, short, stored
 
 SHINGLE = 5
 SEED = 42
@@ -120,32 +120,32 @@ def _alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t) for t in part.column(1).to_pylist()], pa.list_(pa.int64()))], ["key", "s"])
 
     def of(pairs: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], shape: str) -> tuple[DataFrame, str]:
-        wanted = cut(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct())
-        return stored(beside(texts, wanted, "key").select("key", "text").mapInArrow(released(each), shape))
+        wanted = _small(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+        return stored(texts.join(wanted, "key").select("key", "text").mapInArrow(released(each), shape))
 
     side = lambda told, x: told.select(*[F.col(c).alias(x if c == "key" else c + x) for c in told.columns])
-    pairs = cut(pairs)
+    pairs, _ = short(pairs)
     told, path = of(pairs, counts, "key long, n int, c array<smallint>")
     most = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda x, y: x + y)
-    likely = cut(pairs.join(side(told, "a"), "a").join(side(told, "b"), "b").where(9 * most >= 4 * (F.col("na") + F.col("nb"))).select("a", "b"))
+    likely, _ = short(pairs.join(side(told, "a"), "a").join(side(told, "b"), "b").where(9 * most >= 4 * (F.col("na") + F.col("nb"))).select("a", "b"))
     discard(texts.sparkSession, path)
     told, path = of(likely, sets, "key long, s array<bigint>")
     both = likely.join(side(told, "a"), "a").join(side(told, "b"), "b")
-    alike = cut(both.where(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b").distinct())
+    alike, _ = short(both.where(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b").distinct())
     discard(texts.sparkSession, path)
     return alike
 
 
 def _small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """``df``, broadcast if a count shows at most ``most`` rows."""
-    df = cut(df)
-    return F.broadcast(df) if df.count() <= most else df
+    """``df``, broadcast if it has at most ``most`` rows."""
+    df, n = short(df)
+    return F.broadcast(df) if n <= most else df
 
 
 def _tiled(texts: DataFrame) -> DataFrame:
     """Pairs of keys that SimHash's tiles link, each fingerprint's texts to its smallest key."""
     fps = cut(simhash.fingerprints(texts, "key", "text"))
-    points = cut(fps.groupBy("fp").agg(F.min("key").alias("id")))
+    points, _ = short(fps.groupBy("fp").agg(F.min("key").alias("id")))
     equal = fps.join(points, "fp").where("id <> key").select(F.col("id").alias("a"), F.col("key").alias("b"))
     return equal.unionByName(simhash.links(points).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
 
