@@ -11,11 +11,13 @@ bound or after ``NODES`` nodes.
 from __future__ import annotations
 
 import os
+import string
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,8 +26,9 @@ from lanewise.llm.common import cut, released, table
 CAPACITY = 2048
 NODES = 6000
 WIDTH = 3
-KEPT_WORDS = 200_000
-CHUNK_CHARS = 1_000_000
+KEPT_WORDS = 200_000  # remembered by a worker in a generation, of which there are two
+LONGEST = 64  # signs of a part that is remembered
+TOGETHER = 4_000_000  # bytes of text cut at a time
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
@@ -36,17 +39,20 @@ def default_tokenizer() -> str:
 
 
 class WordIds:
-    """Ids of UTF-8 words as little-endian bytes, with two generations of remembered words.
-
-    Text is cut at ASCII white space, where the tokenizer always ends a token. A word of Latin
-    letters, lower-cased, goes straight to the tokenizer's model in its byte alphabet: its normaliser
-    and splitter would only hand it on; a full stop or the like after it is a token of its own. All
-    other words take the tokenizer's whole path. Texts with ``<|`` may hold special tokens and are
-    encoded whole.
+    """Ids of UTF-8 texts as little-endian bytes, with two generations of remembered words.
+
+    Text is cut at ASCII white space, where the tokenizer always ends a token. Many texts are cut
+    together, and their words told apart, by numpy and Arrow, which also lower A-Z in words without
+    combining marks; Python meets each different part once for all the texts. Latin letters go straight
+    to the tokenizer's model in its byte alphabet: its normaliser and splitter would only hand them on;
+    a run of ``TAILS`` after them, up to the white space, is a token's worth of its own. All other words
+    take the tokenizer's whole path. Texts with ``<|`` may hold special tokens and are encoded whole.
     """
 
-    ENDS = ".,;:!?"
     LATIN = "\u0250"  # below it letters have no decompositions and one lower case
+    TAILS = string.punctuation.replace("'", "")  # an apostrophe may begin a token with the letters after it
+    LEAD = 0  # signs before a word's letters that belong to it
+    WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -55,46 +61,109 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.four = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size(True))]
-        self.ends = dict(zip(self.ENDS, self._encode(list(self.ENDS)), strict=True))
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
         hidden = [b for b in range(256) if b not in set(shown)]
         self.alphabet = {b: chr(256 + i) for i, b in enumerate(hidden)}  # the others stand for themselves
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-        self.bases: dict[str, bytes] = {}
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         four = self.four
         return [b"".join([four[i] for i in e.ids]) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.new) + len(words) > KEPT_WORDS:
-            self.old, self.new, self.bases = self.new, {}, {}
-        new, old, bases, four, tokenize = self.new, self.old, self.bases, self.four, self.model.tokenize
-        hard: list[tuple[bytes, str]] = []
-        for w in [w for w in words if w not in new]:
-            if (ids := old.get(w)) is None:
-                text = w.decode("utf-8")
-                end = text[-1] if text[-1] in self.ends and len(text) > 1 else ""
-                base = (text[:-1] if end else text).lower()
-                if (ids := bases.get(base)) is None:
-                    if not base.isalpha() or max(base) >= self.LATIN:
-                        hard.append((w, text))
-                        continue
-                    shown = base if base.isascii() else base.encode("utf-8").decode("latin-1").translate(self.alphabet)
-                    ids = bases[base] = b"".join([four[t.id] for t in tokenize(shown)])
-                if end:
-                    ids += self.ends[end]
-            new[w] = ids
+    def _letters(self, letters: str, lead: str = "") -> bytes:
+        """The ids of Latin letters, straight from the model; ``lead`` is in its alphabet."""
+        if not letters.isascii():
+            letters = letters.encode("utf-8").decode("latin-1").translate(self.alphabet)
+        four = self.four
+        return b"".join([four[t.id] for t in self.model.tokenize(lead + letters)])
+
+    def straight(self, part: str) -> bytes | None:
+        """The ids of a part that needs the model alone; None for others."""
+        letters = part.lower()
+        return self._letters(letters) if letters.isalpha() and max(letters) < self.LATIN else None
+
+    def learn(self, parts: list[str], kept: int = KEPT_WORDS) -> list[bytes]:
+        """The ids of different ``parts``; at most ``kept`` in a generation."""
+        if len(self.new) + len(parts) > kept:
+            self.old, self.new = self.new, {}
+        new, old, straight = self.new, self.old, self.straight
+        hard = []
+        found = list(map(new.get, parts))
+        for k in [k for k, ids in enumerate(found) if ids is None]:
+            part = parts[k]
+            ids = old.get(part)
+            if ids is None and (ids := straight(part)) is None:
+                hard.append(k)
+                continue
+            found[k] = ids
+            if len(part) <= LONGEST:
+                new[part] = ids
         for at in range(0, len(hard), 20_000):
             some = hard[at : at + 20_000]
-            new.update(zip((w for w, _ in some), self._encode([t for _, t in some]), strict=True))
+            for k, ids in zip(some, self._encode([parts[k] for k in some]), strict=True):
+                found[k] = ids
+                if len(parts[k]) <= LONGEST:
+                    new[parts[k]] = ids
+        return found
+
+    def _parts(self, words: pa.Array) -> pa.DictionaryArray:
+        """Two parts of each of ``words``: Latin letters (with the signs before them) and their tail, else all of it and nothing."""
+        _, starts, data = words.buffers()
+        starts = np.frombuffer(starts, np.int64, len(words) + 1)
+        bare = pc.utf8_rtrim(words, characters=self.TAILS)
+        plain = pc.utf8_is_alpha(pc.utf8_slice_codeunits(bare, self.LEAD) if self.LEAD else bare).to_numpy(zero_copy_only=False)
+        plain &= self._latin(words)
+        bounds = np.empty(2 * len(words) + 1, np.int64)
+        bounds[::2] = starts
+        bounds[1::2] = np.where(plain, starts[:-1] + pc.binary_length(bare).to_numpy(), starts[1:])
+        return pa.LargeStringArray.from_buffers(2 * len(words), pa.py_buffer(bounds), data).dictionary_encode()
+
+    def _latin(self, words: pa.Array) -> np.ndarray:
+        """Which of ``words``, none of them empty, have no sign from ``LATIN`` on, as they are and in
+        lower case (\u0130 becomes two signs, a letter and a mark that is the tail's)."""
+        _, starts, data = words.buffers()
+        starts = np.frombuffer(starts, np.int64, len(words) + 1)
+        below = np.maximum.reduceat(np.frombuffer(data, np.uint8, starts[-1]), starts[:-1]) < self.LATIN.encode()[0]
+        return below & ~pc.match_substring(words, "\u0130").to_numpy(zero_copy_only=False)
+
+    def _lowered(self, words: pa.Array) -> pa.Array:
+        """A-Z in lower case where no sign from ``LATIN`` on, such as a combining mark, is in the word:
+        there the tokenizer composes signs first, and not all letters compose in both cases."""
+        _, starts, data = words.buffers()
+        sizes = np.diff(np.frombuffer(starts, np.int64, len(words) + 1))
+        signs = np.frombuffer(data, np.uint8, sizes.sum())
+        upper = (signs >= 65) & (signs <= 90) & np.repeat(self._latin(words), sizes)
+        return pa.LargeStringArray.from_buffers(len(words), starts, pa.py_buffer(signs + np.uint8(32) * upper))
+
+    def _spelt(self, words: pa.Array) -> tuple[np.ndarray, memoryview]:
+        """The ids of all ``words`` (none of them empty) in a row, and where those of each begin."""
+        words = words.dictionary_encode()
+        parts = self._parts(self._lowered(words.dictionary))
+        ids = pa.array(self.learn(parts.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(parts.indices)
+        _, pairs, body = ids.buffers()
+        pairs = np.ascontiguousarray(np.frombuffer(pairs, np.int64, len(ids) + 1)[::2])
+        each = pa.Array.from_buffers(pa.large_binary(), len(pairs) - 1, [None, pa.py_buffer(pairs), body]).take(words.indices)
+        return np.frombuffer(each.buffers()[1], np.int64, len(each) + 1), memoryview(each.buffers()[2] or b"")
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
-        words = [t.split() for t in texts]
-        self.learn({w for ws in words for w in ws})
-        get = self.new.__getitem__
-        return [self._encode([t.decode("utf-8")])[0] if b"<|" in t else b"".join(map(get, ws)) for t, ws in zip(texts, words, strict=True)]
+        whole = [i for i, t in enumerate(texts) if b"<|" in t]
+        out = dict(zip(whole, self._encode([texts[i].decode("utf-8") for i in whole]), strict=True))
+        cut = [i for i in range(len(texts)) if i not in out]
+        data = np.frombuffer(b" ".join([b"", *[texts[i] for i in cut], b""]), np.uint8)
+        white = self.WHITE[data]
+        first = np.zeros(len(data), bool)
+        first[1:] = white[:-1] & ~white[1:]
+        signs = data[~white]
+        if not len(signs):
+            return [out.get(i, b"") for i in range(len(texts))]
+        bounds = np.append(np.flatnonzero(first[~white]), len(signs))
+        starts, body = self._spelt(pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds), pa.py_buffer(signs)))
+        ends = np.cumsum([0] + [len(texts[i]) + 1 for i in cut])
+        at = starts[np.searchsorted(np.flatnonzero(first), ends)].tolist()
+        for k, i in enumerate(cut):
+            out[i] = bytes(body[at[k] : at[k + 1]])
+        return [out[i] for i in range(len(texts))]
 
 
 _tokenizers: dict[str, WordIds] = {}
@@ -113,7 +182,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             start = 0
             while start < len(texts):
                 end, size = start + 1, len(texts[start])
-                while end < len(texts) and size + len(texts[end]) <= CHUNK_CHARS:
+                while end < len(texts) and size + len(texts[end]) <= TOGETHER:
                     size += len(texts[end])
                     end += 1
                 for i, ids in enumerate(words.ids(texts[start:end]), start):
@@ -128,7 +197,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 [batch.column(0).take(pa.array(where, pa.int64())), pa.array(columns[:, 0].astype(np.int32)), *(pa.array(np.ascontiguousarray(columns[:, k])) for k in (1, 2, 3))],
                 [id_col, "piece", "start", "length", "ids_crc32"],
             )
-        words.new, words.old, words.bases = {}, {}, {}  # the tokenizer stays with the worker, its words do not
+        words.new, words.old = {}, {}  # the tokenizer stays with the worker, its words do not
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(released(cut_up), f"`{id_col}` {kind}, {PIECES}")

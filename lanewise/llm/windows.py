@@ -12,7 +12,6 @@ window; tokenising, ranking, placing and cutting run on Spark.
 from __future__ import annotations
 
 import re
-import string
 import sys
 import zlib
 from collections.abc import Callable
@@ -20,18 +19,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lanewise.llm.common import Batches, beside, discard, released, saved, stored, table
-from lanewise.llm.packing import WordIds, _complete, _use
+from lanewise.llm.packing import LONGEST, WordIds, _complete, _use
 
 CAPACITY = 1024
 STEPS = 300
 PARTS = 300_000  # remembered by a worker in a generation, of which there are two
-LONGEST = 64  # signs of a part that is remembered
 TOGETHER = 4_000_000  # signs of text cut at a time
 PLACED = "row long, at long, length long, sequence_id long, offset long, whole boolean"
 
@@ -58,7 +55,7 @@ class ChunkIds(WordIds):
     ODD = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace() and c not in " \n"]
     RUNS = "  ", " \n", "\n\n\n", "\n\n "
     TANGLED = re.compile(r"\s (?:\s|\Z)| \n")
-    TAILS = string.punctuation.replace("'", "")  # an apostrophe may begin a token with the letters after it
+    LEAD = 1
 
     def __init__(self, path: str) -> None:
         super().__init__(path)
@@ -70,48 +67,18 @@ class ChunkIds(WordIds):
         a line feed and more; sought sign by sign, which goes many times faster than a pattern."""
         return any(c in text for c in cls.RUNS) or any(c in text for c in cls.ODD) or text.endswith(("\n\n", "\n "))
 
+    def straight(self, part: str) -> bytes | None:
+        """A part of Latin letters starts with its space or line feed."""
+        lead, letters = part[:1], part[1:]
+        if lead not in (" ", "\n") or not letters.isalpha() or max(letters) >= self.LATIN:
+            return None
+        return self._letters(letters, self.alphabet[32]) if lead == " " else self.feed + self._letters(letters)
+
     def learn(self, parts: list[str]) -> list[bytes]:
-        """The ids of different ``parts``. A part of Latin letters starts with its space or line feed."""
-        if len(self.new) + len(parts) > PARTS:
-            self.old, self.new = self.new, {}
-        new, old, four, tokenize, space = self.new, self.old, self.four, self.model.tokenize, self.alphabet[32]
-        hard = []
-        found = list(map(new.get, parts))
-        for k in [k for k, ids in enumerate(found) if ids is None]:
-            part = parts[k]
-            ids = old.get(part)
-            if ids is None:
-                lead, letters = part[:1], part[1:]
-                if lead not in (" ", "\n") or not letters.isalpha() or max(letters) >= self.LATIN:
-                    hard.append(k)
-                    continue
-                if not letters.isascii():
-                    letters = letters.encode("utf-8").decode("latin-1").translate(self.alphabet)
-                ids = b"".join([four[t.id] for t in tokenize(space + letters if lead == " " else letters)])
-                if lead == "\n":
-                    ids = self.feed + ids
-            found[k] = ids
-            if len(part) <= LONGEST:
-                new[part] = ids
-        for at in range(0, len(hard), 20_000):
-            some = hard[at : at + 20_000]
-            for k, ids in zip(some, self._encode([parts[k] for k in some]), strict=True):
-                found[k] = ids
-                if len(parts[k]) <= LONGEST:
-                    new[parts[k]] = ids
-        return found
-
-    def _parts(self, chunks: pa.Array) -> pa.DictionaryArray:
-        """Two parts of each of ``chunks``: Latin letters (with the sign before them) and their tail, else all of it and nothing."""
-        _, starts, data = chunks.buffers()
-        starts = np.frombuffer(starts, np.int64, len(chunks) + 1)
-        bare = pc.utf8_rtrim(chunks, characters=self.TAILS)
-        plain = pc.utf8_is_alpha(pc.utf8_slice_codeunits(bare, 1)).to_numpy(zero_copy_only=False)
-        plain &= np.maximum.reduceat(np.frombuffer(data, np.uint8, starts[-1]), starts[:-1]) < self.LATIN.encode()[0]
-        bounds = np.empty(2 * len(chunks) + 1, np.int64)
-        bounds[::2] = starts
-        bounds[1::2] = np.where(plain, starts[:-1] + pc.binary_length(bare).to_numpy(), starts[1:])
-        return pa.LargeStringArray.from_buffers(2 * len(chunks), pa.py_buffer(bounds), data).dictionary_encode()
+        return super().learn(parts, PARTS)
+
+    def _lowered(self, words: pa.Array) -> pa.Array:
+        return words  # this tokenizer tells capitals apart
 
     def ids(self, texts: list[str]) -> list[bytes]:
         whole, even, first = [], [], []
@@ -137,14 +104,9 @@ class ChunkIds(WordIds):
         begins[0] = True
         begins[ends[:-1]] = True
         bounds = np.append(np.flatnonzero(begins), len(data))
-        chunks = pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds), pa.py_buffer(data)).dictionary_encode()
-        parts = self._parts(chunks.dictionary)
-        ids = pa.array(self.learn(parts.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(parts.indices)
-        _, pairs, body = ids.buffers()
-        pairs = np.ascontiguousarray(np.frombuffer(pairs, np.int64, len(ids) + 1)[::2])
-        each = pa.Array.from_buffers(pa.large_binary(), len(pairs) - 1, [None, pa.py_buffer(pairs), body]).take(chunks.indices)
-        at = np.frombuffer(each.buffers()[1], np.int64, len(each) + 1)[np.searchsorted(bounds, np.concatenate([[0], ends]))].tolist()
-        joined, skip = memoryview(each.buffers()[2]), len(self.feed)
+        starts, joined = self._spelt(pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds), pa.py_buffer(data)))
+        at = starts[np.searchsorted(bounds, np.concatenate([[0], ends]))].tolist()
+        skip = len(self.feed)
         for k, i in enumerate(cut):
             out[i] = bytes(joined[at[k] + (skip if k < len(even) else 0) : at[k + 1]])
         return [out[i] for i in range(len(texts))]

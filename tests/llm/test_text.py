@@ -132,6 +132,41 @@ def test_word_ids_equal_the_tokenizer():
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_each_different_word_is_tokenised_once(monkeypatch):
+    from types import SimpleNamespace
+
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    plain, words, asked, letters = Tokenizer.from_file(path), packing.WordIds(path), [], []
+    encode, model = words._encode, words.model
+    monkeypatch.setattr(words, "_encode", lambda texts: asked.extend(texts) or encode(texts))
+    words.model = SimpleNamespace(tokenize=lambda w: letters.append(w) or model.tokenize(w))
+    tails = ["%%%", "***", ".)", "?!", "---", '."', "_", ","]
+    texts = [" ".join(w + tail for w in ("tree", "Tree", "TREE", "haus", "Haus", "ñandu")) for tail in ["", *tails]]
+    for _ in range(2):
+        for t, ids in zip(texts, words.ids([t.encode() for t in texts]), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
+    assert sorted(x for x in asked if x) == sorted(tails)  # neither words with a tail nor capitals take the whole path
+    assert len(letters) == 3
+
+    odd = ["a'", "a's.", "a.'s", "×.", "a×.", "Ā.", "Ɓ.", "ɐ.", "漢.", "a…", "1.", "A1.", ".", "..A", "ª.", "'", "-A-", "A\0.", "É\u0301.", "ŉ.", "Ǆ?", "İ.", "aİ***", "İ", "H\u0331.", "J\u030c", "\x85", "\x85.", "\xa0A", "A<", "<"]
+    texts = [lead + w + end for lead in ("", " ", "\n", "B ", "b\x0b", "\u2003") for w in odd for end in ("", " ", "\r", " c.", "\fC.", "\x1cc.")]
+    for some in ([t.encode() for t in texts], [b"", *[t.encode() for t in texts[:9]], b" ", b""], [b"", b" \n"], ["\x85".encode()], []):
+        for t, ids in zip(some, words.ids(some), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == plain.encode(t.decode(), add_special_tokens=False).ids, repr(t)
+
+
+def test_word_ids_forget_words_and_ids_stay(monkeypatch):
+    words = packing.WordIds(packing.default_tokenizer())
+    learn = words.learn
+    monkeypatch.setattr(words, "learn", lambda parts: learn(parts, 3))
+    texts = [t.encode() for t in ("tree Haus, x1", "Haus tree. ñandú!", "", "x1 tree\ttree", "x" * 1000 + " " + "漢" * 1000)]
+    first = [words.ids([t])[0] for t in texts]
+    assert [words.ids([t])[0] for t in texts] == first == packing.WordIds(packing.default_tokenizer()).ids(texts)
+    assert max(map(len, [*words.new, *words.old])) <= packing.LONGEST
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
